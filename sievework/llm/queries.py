@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from sievework.llm import decontaminate
+from sievework.llm import decontaminate, spotsigs, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.query,
+        "op9_spotsigs": spotsigs.query,
+        "op10_url_filter": url_filter.query,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_decontaminate": decontaminate.SQL,
+        "op10_url_filter": url_filter.SQL,
     }
