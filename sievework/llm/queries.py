@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from sievework.llm import decontaminate, spotsigs, url_filter
+from sievework.llm import chunk_dedup, decontaminate, langid, mixing, simhash, spotsigs, url_filter
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_decontaminate": decontaminate.query,
+        "op2_chunk_dedup": chunk_dedup.query,
+        "op5_mix_sources": mixing.query,
+        "op6_simhash": simhash.query,
+        "op7_language_id": langid.query,
         "op9_spotsigs": spotsigs.query,
         "op10_url_filter": url_filter.query,
     }
