@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import chunk_dedup, decontaminate, langid, mixing, simhash, spotsigs, url_filter
+from sievework.llm import chunk_dedup, decontaminate, html_extract, langid, license_scan, mixing, simhash, spotsigs, suffix_dedup, url_filter
 
 
 def pipeline(spark, sf_dir: str):
@@ -16,9 +16,12 @@ def queries() -> dict:
         "pipeline": pipeline,
         "op1_decontaminate": decontaminate.query,
         "op2_chunk_dedup": chunk_dedup.query,
+        "op3_license_scan": license_scan.query,
+        "op4_html_extract": html_extract.query,
         "op5_mix_sources": mixing.query,
         "op6_simhash": simhash.query,
         "op7_language_id": langid.query,
+        "op8_suffix_dedup": suffix_dedup.query,
         "op9_spotsigs": spotsigs.query,
         "op10_url_filter": url_filter.query,
     }
