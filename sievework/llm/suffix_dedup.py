@@ -2,14 +2,15 @@
 
 Removed is each byte covered by a string of ``length`` bytes that starts anywhere else too.
 
-Parsing: a rolling hash of 16 bytes triggers about once in 32 bytes; a phrase runs from one
+Parsing: a rolling hash of 16 bytes triggers about once in 16 bytes; a phrase runs from one
 trigger's window to the end of the next one's. Equal strings contain equal triggers and so
 equal phrases: the distinct phrases are the dictionary, a text is its parse. In the order
 of all suffixes, strings of ``length`` bytes that are equal stand together. That order is
 not built as one array. It falls into buckets that no equal strings straddle: a string
 belongs to the phrase of smallest digest among those it contains whole (the first, of
-equal ones). Neighbouring starts share that phrase, so one row, the context, stands for
-up to some 400 starts; a string without a whole phrase is a row of its own.
+equal ones), or to its only trigger, if it contains no phrase. Neighbouring starts share that phrase, so one row, the context, stands for
+up to some 400 starts; a string without a trigger is a row of its own, and is
+folded within its text first, for texts like one word repeated have no others.
 
 Contexts that are equal are folded first: their starts are all copies, whatever their
 number, and one of them goes on. Contexts of a phrase that has several then meet in a
@@ -18,7 +19,8 @@ task, which names all their strings by prefix doubling, puts them into the order
 might not fit a task, has its strings counted one by one instead, with map-side
 combination; so no group is cut short.
 
-Cost: one row for about 200 bytes, shuffled twice; texts are shuffled to give the bytes of
+Cost: one row for about 170 bytes; its bucket is counted first, with map-side combination,
+and buckets of one row go no further. Texts are shuffled to give the bytes of
 contexts that need them, and once more to be cut. Names and digests have 128 bits between
 bucket and string; equal ones are taken to be equal.
 
@@ -30,6 +32,8 @@ may fall inside a character, so what is kept is binary.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +43,7 @@ from sievework.llm import common
 
 common.by_value(__name__)
 
-WINDOW, GAP_BITS = 16, 5
+WINDOW, GAP_BITS = 16, 4
 FLUSH = 2_000_000
 PLACE = "k1 long, k2 long, s1 int, s2 int"
 
@@ -57,8 +61,20 @@ def triggers(b, table):
     return np.flatnonzero(h[WINDOW - 1 :] >> np.uint32(32 - GAP_BITS) == 0) + WINDOW
 
 
-def contexts(data: bytes, length: int, table) -> list[tuple[int, bytes, int, int]]:
-    """(bucket, digest, first start, last start): every start of a string of ``length`` bytes once."""
+def _merged(label, at, to) -> list[tuple[int, int, int]]:
+    """(label, first, last) of the runs of equal labels; neighbours of one label adjoin."""
+    import numpy as np
+
+    if not len(label):
+        return []
+    new = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+    return list(zip(label[new].tolist(), at[new].tolist(), to[np.append(new[1:] - 1, len(at) - 1)].tolist(), strict=True))
+
+
+def contexts(data: bytes, length: int, table) -> list[tuple[int, bytes, int, int, int]]:
+    """(bucket, digest, first start, last start, times): every start of a string of ``length``
+    bytes once. times is 1, or 2 for a string that a text without triggers holds more than
+    once; such a string stands for its first start, and all its starts are in rows of times 0."""
     import numpy as np
     import xxhash
 
@@ -72,10 +88,21 @@ def contexts(data: bytes, length: int, table) -> list[tuple[int, bytes, int, int
     to = np.append(at[1:] - 1, last)
     lo, hi = np.searchsorted(e, at + WINDOW), np.searchsorted(e, at + length, side="right") - 2
     out = []
-    for a, b in zip(at[hi < lo].tolist(), to[hi < lo].tolist(), strict=True):
-        for s in range(a, b + 1):
-            one = data[s : s + length]
-            out.append((hash64(one), hash128(one), s, s))
+    one = (hi < lo) & (np.searchsorted(e, at + length, side="right") > lo)
+    for k, a, b in _merged(lo[one], at[one], to[one]):
+        out.append((hash64(data[e[k] - WINDOW : e[k]], 1), hash128(data[a : b + length]), a, b, 1))
+    none = (hi < lo) & ~one
+    poor = [s for a, b in zip(at[none].tolist(), to[none].tolist(), strict=True) for s in range(a, b + 1)]
+    if poor:
+        digests = [hash128(data[s : s + length]) for s in poor]
+        times = Counter(digests)
+        first = dict(zip(reversed(digests), reversed(poor), strict=True))
+        out += [(int.from_bytes(h[:8], "little"), h, s, s, min(2, times[h])) for h, s in first.items()]
+        again = np.array([s for s, h in zip(poor, digests, strict=True) if times[h] > 1], dtype=np.int64)
+        if len(again):
+            new = np.flatnonzero(np.append(True, again[1:] != again[:-1] + 1))
+            ends = again[np.append(new[1:] - 1, len(again) - 1)].tolist()
+            out += [(0, bytes(16), a, b, 0) for a, b in zip(again[new].tolist(), ends, strict=True)]
     rich = hi >= lo
     if not rich.any():
         return out
@@ -97,10 +124,8 @@ def contexts(data: bytes, length: int, table) -> list[tuple[int, bytes, int, int
         own = level == k
         left, right = best[lo[own]], best[hi[own] - (1 << k) + 1]
         least[own] = np.where(digest[left] <= digest[right], left, right)
-    new = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    firsts, lasts = at[new].tolist(), to[np.append(new[1:] - 1, len(at) - 1)].tolist()
-    for k, a, b in zip(least[new], firsts, lasts, strict=True):
-        out.append((int(digest[k]), hash128(data[a : b + length]), a, b))
+    for k, a, b in _merged(least, at, to):
+        out.append((int(digest[k]), hash128(data[a : b + length]), a, b, 1))
     return out
 
 
@@ -172,15 +197,19 @@ def found(docs: DataFrame, length: int, crowd: int) -> DataFrame:
                 c = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.int64).reshape(-1, 2)
                 k = np.array(keys, dtype=np.int64).reshape(-1, 2)
                 d = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-                s = [pa.array([r[i] for r in rows], pa.int32()) for i in (2, 3)]
+                s = [pa.array([r[i] for r in rows], pa.int32()) for i in (2, 3, 4)]
                 cols = [pa.array(x) for x in (d, c[:, 0], c[:, 1], k[:, 0], k[:, 1])] + s
-                yield pa.RecordBatch.from_arrays(cols, ["d", "c1", "c2", "k1", "k2", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays(cols, ["d", "c1", "c2", "k1", "k2", "s1", "s2", "times"])
 
     keyed = _keyed(docs).select("k1", "k2", "text")
-    rows = common.materialise(keyed.mapInArrow(parse, f"d long, c1 long, c2 long, {PLACE}"), "suffix-contexts")
+    rows = common.materialise(keyed.mapInArrow(parse, f"d long, c1 long, c2 long, {PLACE}, times int"), "suffix-contexts")
     place = F.struct("k1", "k2", "s1", "s2")
-    folded = common.materialise(rows.groupBy("d", "c1", "c2").agg(F.count("*").alias("times"), F.min(place).alias("one")), "suffix-folded")
-    copies = rows.join(folded.filter("times > 1").select("d", "c1", "c2"), ["d", "c1", "c2"]).select("k1", "k2", "s1", "s2")
+    own = rows.filter("times > 0")
+    often = own.groupBy("d").agg(F.sum("times").alias("n")).filter("n > 1").select("d")
+    own = common.materialise(own.join(often, "d"), "suffix-often")
+    folded = common.materialise(own.groupBy("d", "c1", "c2").agg(F.sum("times").alias("times"), F.min(place).alias("one")), "suffix-folded")
+    known = rows.filter("times = 0").select("k1", "k2", "s1", "s2")
+    copies = known.unionByName(own.join(folded.filter("times > 1").select("d", "c1", "c2"), ["d", "c1", "c2"]).select("k1", "k2", "s1", "s2"))
     several = folded.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1")
     meeting = common.materialise(folded.join(several, "d").select("d", "n", "one.*"), "suffix-meeting")
 
