@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Turned into a space, and removed: controls, zero-width and direction marks.
-TO_SPACE = r"[\x00\r  ]"
-REMOVED = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F​-‏‪-‮⁠-⁤⁦-⁯﻿]"
+TO_SPACE = r"[\x00\r\u2028\u2029]"
+REMOVED = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u206F\uFEFF]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

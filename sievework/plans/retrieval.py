@@ -84,7 +84,8 @@ FROM k"""
 
 def clean_turns(spark, sf_dir):
     """Marks are put in by arithmetic, as the table has none."""
-    t = table(spark, sf_dir, "conversations").withColumn("dirty", F.expr("CASE WHEN turn % 5 = 0 THEN concat(substr(text, 1, 3), char(8203), char(8238), substr(text, 4), char(8232), 'x') ELSE text END"))
+    put = F.concat(F.substring("text", 1, 3), F.lit("\u200b\u202e"), F.expr("substr(text, 4)"), F.lit("\u2028x"))
+    t = table(spark, sf_dir, "conversations").withColumn("dirty", F.when(F.col("turn") % 5 == 0, put).otherwise(F.col("text")))
     clean = text.visible(F.col("dirty"))
     return t.select("conv_id", "turn", text.n_removed(F.col("dirty")).alias("n_removed"), text.bounded(text.one_line(clean), 200).alias("line"), F.size(text.tokens(clean)).alias("n_tokens"))
 
