@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("retrieval",)
+_MODULES: tuple[str, ...] = ("retrieval", "evidence")
 
 
 def _each(name: str) -> dict:
