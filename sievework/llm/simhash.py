@@ -16,7 +16,8 @@ sixteen being compared.
 Cases: a null or empty text, or white space alone, has fingerprint zero and is linked like
 any other. Repeated rows share a fingerprint. A null id is passed over where another id
 is in the component; without one component_id is null. Empty tables give no rows. Columns
-named fingerprint or component_id are replaced, others kept.
+named fingerprint or component_id are replaced, one named fp is left out of near_duplicates(),
+others are kept.
 """
 
 from __future__ import annotations
