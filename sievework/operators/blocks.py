@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 LEVELS = 6
 # How lines of code open a symbol, by language; the last group is its name.
@@ -48,7 +49,7 @@ def heading_paths(blocks: DataFrame) -> DataFrame:
     return out.withColumn("path", path).drop(*[f"h{n}" for n in range(1, LEVELS + 1)])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _packed(sizes: pd.Series, breaks: pd.Series, most_chars: pd.Series, most_blocks: pd.Series) -> pd.Series:
     def one(ns, bs, chars, n_blocks):
         out, chunk, used, held = [], 0, 0, 0
