@@ -47,16 +47,20 @@ def ipv4(host: Column) -> Column:
     return F.when(number < 1 << 32, number)
 
 
-def address_class(host: Column) -> Column:
-    """loopback, link_local, private, carrier_nat, documentation, multicast, reserved or public for
-    an IPv4 address, or an IPv6 one in brackets; null for a name."""
-    number = ipv4(host)
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often it stands in the body."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _network(number: Column) -> Column:
     out = F.when(number.isNull(), None)
     for first, last, name in spans():
         out = out.when(number.between(first, last), name)
-    v4 = out.otherwise("public")
-    inner = F.lower(F.regexp_extract(host, r"^\[([0-9A-Fa-f:.]+)(?:%[^\]]*)?\]$", 1))
-    v6 = (
+    return out.otherwise("public")
+
+
+def _ipv6(inner: Column) -> Column:
+    return (
         F.when(inner == "", None)
         .when(inner.rlike(r"^(0{0,4}:)*0{0,3}1$"), "loopback")
         .when(inner.rlike(r"^[0:]+$"), "reserved")
@@ -67,12 +71,15 @@ def address_class(host: Column) -> Column:
         .when(inner.rlike("^(2002:|2001:(0{1,4}|0{0,3}2)?:)"), "reserved")
         .otherwise("public")
     )
-    mapped = F.regexp_extract(inner, r"^::(?:ffff:)?([0-9.]+\.[0-9]+)$", 1)
-    inside = ipv4(mapped)
-    out = F.when(inside.isNull(), None)
-    for first, last, name in spans():
-        out = out.when(inside.between(first, last), name)
-    return F.coalesce(v4, out.when(inside.isNotNull(), "public"), v6)
+
+
+def address_class(host: Column) -> Column:
+    """loopback, link_local, private, carrier_nat, documentation, multicast, reserved or public for
+    an IPv4 address, or an IPv6 one in brackets; null for a name. An IPv6 address that holds an IPv4
+    one has its class."""
+    inner = F.lower(F.regexp_extract(host, r"^\[([0-9A-Fa-f:.]+)(?:%[^\]]*)?\]$", 1))
+    mapped = ipv4(F.regexp_extract(inner, r"^::(?:ffff:)?([0-9.]+\.[0-9]+)$", 1))
+    return F.coalesce(_let(ipv4(host), _network), _let(mapped, _network), _let(inner, _ipv6))
 
 
 def verdict(url: Column, longest: int = 2048) -> Column:
@@ -81,17 +88,21 @@ def verdict(url: Column, longest: int = 2048) -> Column:
     authority = F.regexp_extract(url, urls.URL, 2)
     bare = F.regexp_replace(authority, "^.*@", "")
     host = F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^(\[[^\]]*\])", 1)).otherwise(F.regexp_replace(bare, ":[0-9]*$", "")))
-    kind = address_class(host)
-    private = (host == "localhost") | host.isin(PRIVATE_NAMES)
-    for e in PRIVATE_ENDINGS:
-        private = private | host.endswith(e)
-    return (
-        F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "empty")
-        .when(~url.rlike(urls.URL) | (host == ""), "invalid")
-        .when(~F.lower(F.regexp_extract(url, urls.URL, 1)).isin("http", "https"), "scheme")
-        .when(F.octet_length(url) > longest, "too_long")
-        .when(F.contains(authority, F.lit("@")), "credentials")
-        .when(kind != "public", kind)
-        .when(kind.isNull() & private, "private_name")
-        .otherwise("allowed")
-    )
+    known = F.struct(host.alias("host"), address_class(host).alias("kind"))
+
+    def judged(k: Column) -> Column:
+        private = (k["host"] == "localhost") | k["host"].isin(PRIVATE_NAMES)
+        for e in PRIVATE_ENDINGS:
+            private = private | k["host"].endswith(e)
+        return (
+            F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "empty")
+            .when(~url.rlike(urls.URL) | (k["host"] == ""), "invalid")
+            .when(~F.lower(F.regexp_extract(url, urls.URL, 1)).isin("http", "https"), "scheme")
+            .when(F.octet_length(url) > longest, "too_long")
+            .when(F.contains(authority, F.lit("@")), "credentials")
+            .when(k["kind"] != "public", k["kind"])
+            .when(k["kind"].isNull() & private, "private_name")
+            .otherwise("allowed")
+        )
+
+    return _let(known, judged)
