@@ -19,10 +19,15 @@ def key(version: Column) -> Column:
     return F.when(F.size(numbers) > 0, found)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often it stands in the body."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1; null if either is no version."""
-    x, y = key(a), key(b)
-    return F.when(x.isNull() | y.isNull(), None).when(x < y, -1).when(x == y, 0).otherwise(1)
+    order = lambda k: F.when(k["x"].isNull() | k["y"].isNull(), None).when(k["x"] < k["y"], -1).when(k["x"] == k["y"], 0).otherwise(1)
+    return _let(F.struct(key(a).alias("x"), key(b).alias("y")), order)
 
 
 def in_range(version: Column, spec: Column) -> Column:
@@ -35,16 +40,17 @@ def in_range(version: Column, spec: Column) -> Column:
     def met(c):
         op = F.regexp_extract(c, "^(>=|<=|!=|>|<|=)?", 1)
         order = compare(version, F.trim(F.regexp_replace(c, "^(?:>=|<=|!=|>|<|=)", "")))
-        out = (
-            F.when(order.isNull() | ((op == "") & many), None)
-            .when(op == ">=", order >= 0)
-            .when(op == "<=", order <= 0)
-            .when(op == "!=", order != 0)
-            .when(op == ">", order > 0)
-            .when(op == "<", order < 0)
-            .otherwise(order == 0)
+        out = lambda o: (
+            F.when(o.isNull() | ((op == "") & many), None)
+            .when(op == ">=", o >= 0)
+            .when(op == "<=", o <= 0)
+            .when(op == "!=", o != 0)
+            .when(op == ">", o > 0)
+            .when(op == "<", o < 0)
+            .otherwise(o == 0)
         )
-        return F.struct(out.alias("ok"))
+        return F.struct(_let(order, out).alias("ok"))
 
     decided = F.filter(F.transform(clauses, met), lambda m: m["ok"].isNull() | ~m["ok"])
-    return F.when(F.size(clauses) == 0, None).when(F.size(decided) == 0, True).otherwise(F.get(decided, 0)["ok"])
+    first = lambda d: F.when(F.size(d) == 0, True).otherwise(F.get(d, 0)["ok"])
+    return F.when(F.size(clauses) == 0, None).otherwise(_let(decided, first))

@@ -16,9 +16,7 @@ def range_verdict(version: Column, fixed: Column, last_affected: Column, spec: C
         F.when(version.isNull(), "unknown")
         .when(F.coalesce(F.array_contains(fixed, version), F.lit(False)), "not_affected")
         .when(F.coalesce(F.size(last_affected), F.lit(0)) > 0, F.when(F.array_contains(last_affected, version), "affected").otherwise("not_affected"))
-        .when(inside.isNull(), "unknown")
-        .when(inside, "affected")
-        .otherwise("not_affected")
+        .otherwise(F.coalesce(F.element_at(F.create_map(F.lit(True), F.lit("affected"), F.lit(False), F.lit("not_affected")), inside), F.lit("unknown")))
     )
 
 

@@ -5,8 +5,12 @@ matter are cut down to a proven bound by windows first, and the fold runs over t
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from sievework.functions import text, urls
 
@@ -99,26 +103,32 @@ def unlike(passages: DataFrame, length: int = 4, least: int = 4, overlap: float
 
     It does not if its tokens are the same, or if the smaller set of shingles has ``least`` or more
     and ``overlap`` of it is shared. The first ``most`` passages of a query are judged, as an answer
-    holds no more; any after them are kept. Only those are gathered into one row."""
+    holds no more; any after them are kept. A task holds the hashes (64 bits) of one query's judged
+    passages, found through an index of shingles, so none is compared with all before it."""
     tokens = text.tokens(F.coalesce("text", F.lit("")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - length + 1, F.lit(1))), lambda i: F.array_join(F.slice("tokens", i, length), " ")))
     rows = passages.select("query_id", "pos", tokens.alias("tokens")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
-    grams = F.when(F.size("tokens") >= length, grams).otherwise(F.array().cast("array<string>"))
-    judged = rows.filter(F.col("r") <= most).select("query_id", F.struct("pos", F.xxhash64("tokens").alias("h"), F.size("tokens").alias("n"), grams.alias("grams")).alias("p"))
-    kind = "array<struct<pos:bigint,h:bigint,n:int,grams:array<string>>>"
-
-    def step(kept, x):
-        def says(k):
-            floor = F.least(F.size(k["grams"]), F.size(x["grams"]))
-            return (k["n"] > 0) & (x["n"] > 0) & (((k["h"] == x["h"]) & (k["n"] == x["n"])) | ((floor >= least) & (F.size(F.array_intersect(k["grams"], x["grams"])) >= overlap * floor)))
-
-        return F.when(F.exists(kept, says), kept).otherwise(F.concat(kept, F.array(x)))
-
-    folded = judged.groupBy("query_id").agg(F.sort_array(F.collect_list("p")).cast(kind).alias("all"))
-    kept = F.transform(F.aggregate("all", F.array().cast(kind), step), lambda k: k["pos"])
-    early = folded.select("query_id", kept.alias("kept"), F.explode(F.transform("all", lambda p: p["pos"])).alias("pos"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - length + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("tokens", i, length)))
+    grams = F.when(F.size("tokens") >= length, F.array_distinct(grams)).otherwise(F.array().cast("array<long>"))
+    judged = rows.filter(F.col("r") <= most).select("query_id", F.col("pos").cast("long").alias("pos"), F.xxhash64("tokens").alias("h"), F.size("tokens").alias("n"), grams.alias("grams"))
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos", kind="stable")
+        said, having, sizes, kept = set(), {}, [], []
+        for h, n, gs in zip(group["h"], group["n"], group["grams"]):
+            shared = Counter(k for g in gs for k in having.get(g, ()))
+            floors = ((c, min(len(gs), sizes[k])) for k, c in shared.items())
+            new = n == 0 or not ((h, n) in said or any(f >= least and c / f >= overlap for c, f in floors))
+            kept.append(new)
+            if new:
+                said.add((h, n))
+                for g in gs:
+                    having.setdefault(g, []).append(len(sizes))
+                sizes.append(len(gs))
+        return group[["query_id", "pos"]].assign(kept=kept)
+
+    early = judged.groupBy("query_id").applyInPandas(judge, StructType([judged.schema["query_id"], StructField("pos", LongType()), StructField("kept", BooleanType())]))
     late = rows.filter(F.col("r") > most).select("query_id", F.col("pos").cast("long").alias("pos"), F.lit(True).alias("kept"))
-    return early.select("query_id", "pos", F.array_contains("kept", F.col("pos")).alias("kept")).unionByName(late)
+    return early.unionByName(late)
 
 
 def waves(items: DataFrame, size: int, budget: int) -> DataFrame:
