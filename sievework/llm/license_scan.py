@@ -2,12 +2,13 @@
 
 Text is lower-cased and cut into words. A rule is a regular expression over words with one
 word marked as its keyword by "@". A document without any keyword is passed by with one
-look; at each keyword only the rules of that keyword are tried, on the ten words before
-and the sixteen after it, so that the work follows the number of keywords. A detection is
+look; at each keyword only the rules of that keyword are tried, on as many words before and
+after it as the longest rule can take, so that the work follows the number of keywords. "licence"
+is read wherever a rule says "license", but for SPDX tags. Rules are checked on load. A detection is
 an interval of words. Of two detections of which one interval contains the other, the one
 with the higher priority stays; of equal priority the larger interval; of equal intervals
-the earlier rule. A detection is compared only with those of the keywords at most 26 words
-away, beyond which no interval can reach, so long texts full of licences cost no more for
+the earlier rule. A detection is compared only with those of the keywords within the sum
+of both, beyond which no interval can reach, so long texts full of licences cost no more for
 each.
 
 Base phrases are rules whose places and labels are reported whatever suppression says.
@@ -22,13 +23,14 @@ rows.
 
 from __future__ import annotations
 
+import re
+from re import _parser
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import common
 
-BEFORE, AFTER = 10, 16
-
 #: label, relevance, the licence's name as a regular expression over words.
 NAMES = r"""
 apache-2.0        | 95 | apache (?:software )?@license (?:version |v )?2(?: 0)?
@@ -58,7 +60,7 @@ epl-1.0           | 95 | eclipse public @license (?:version |v )?1(?: 0)?
 epl-2.0           | 95 | eclipse public @license (?:version |v )?2(?: 0)?
 cddl-1.0          | 95 | common development and distribution @license(?: (?:version |v )?1(?: 0)?)?
 cpl-1.0           | 95 | common public @license(?: (?:version |v )?1(?: 0)?)?
-eupl-1.2          | 95 | european union public (?:licence|@license) (?:version |v )?1 2
+eupl-1.2          | 95 | european union public @license (?:version |v )?1 2
 artistic-2.0      | 95 | artistic @license (?:version |v )?2(?: 0)?
 artistic          | 80 | artistic @license
 bsd-2-clause      | 95 | (?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) @license
@@ -186,6 +188,11 @@ def rules() -> list[tuple[str, int, int, bool, str]]:
     for label, rel, name in _split(NAMES, 2):
         for p, more, before in _split(PHRASES, 2):
             out.append((label, int(p), min(100, int(rel) + int(more)), False, f"{before}{name}"))
+    british = [(*r[:4], re.sub(r"\blicense\b", "licence", r[4])) for r in out if "@license" in r[4] and not r[3]]
+    out = [(*r[:4], r[4] if "@license" in r[4] or "spdx" in r[4] else re.sub(r"\blicense\b", "licen[cs]e", r[4])) for r in out] + british
+    for rule in (r[4] for r in out):
+        if rule.count("@") != 1 or not keyword(rule) or "@" in "".join(re.findall(r"\([^()]*\)", rule)):
+            raise ValueError(f"a rule needs one keyword outside all branches: {rule}")
     return out
 
 
@@ -201,6 +208,32 @@ def keyword(rule: str) -> str:
     return word
 
 
+def most_words(part: str) -> int:
+    """The most words that a part of a rule can take; a starred group is taken STARRED times."""
+
+    def walk(node) -> int:
+        total = 0
+        for op, av in node:
+            name = str(op)
+            if name == "LITERAL":
+                total += av == 32
+            elif name == "SUBPATTERN":
+                total += walk(av[-1])
+            elif name == "BRANCH":
+                total += max(walk(x) for x in av[1])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                n = walk(av[2])
+                total += n * (STARRED if av[1] > 1000 else int(av[1])) if n else 0
+        return total
+
+    return walk(_parser.parse(part))
+
+
+#: Times that a group may repeat without a bound, and words before and after a keyword.
+STARRED = 8
+BEFORE = max(most_words(r[4].split("@", 1)[0]) for r in rules())
+AFTER = max(most_words(r[4].split("@", 1)[1]) for r in rules())
+
 SPAN = "struct<first:int,last:int,rule:int>"
 
 
