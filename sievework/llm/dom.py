@@ -1,7 +1,8 @@
 """Leaf blocks of an HTML page: one linear pass over its tags, with a stack of open elements.
 
 A block is the text between two block-level tags. Inline tags and line breaks do not end
-one; scripts, styles, templates and comments give no text. Character references are
+one; scripts, styles, templates and comments give no text, while svg, noscript and iframe
+are elements like any other. Character references are
 decoded, white space inside a block becomes one space, and blocks without text are none.
 Broken markup never raises: an unknown end tag is passed over, open elements end with the
 page.
@@ -17,7 +18,7 @@ from sievework.llm import common
 common.by_value(__name__)
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
