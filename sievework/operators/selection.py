@@ -98,18 +98,18 @@ def excerpts(rows: DataFrame, n: int = 3) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("card").orderBy(*order))).filter(F.col("place") <= n).select("card", "place", "text")
 
 
-def unlike(passages: DataFrame, length: int = 4, least: int = 4, overlap: float = 0.8, most: int = 256) -> DataFrame:
+def unlike(passages: DataFrame, length: int = 4, least: int = 4, overlap: float = 0.8, most: int | None = 256) -> DataFrame:
     """query_id, pos, kept: whether a passage says something that no kept one before it (by pos) says.
 
     It does not if its tokens are the same, or if the smaller set of shingles has ``least`` or more
     and ``overlap`` of it is shared. The first ``most`` passages of a query are judged, as an answer
-    holds no more; any after them are kept. A task holds the hashes (64 bits) of one query's judged
+    holds no more, and any after them are kept; with None all are judged. A task holds the hashes (64 bits) of one query's judged
     passages, found through an index of shingles, so none is compared with all before it."""
     tokens = text.tokens(F.coalesce("text", F.lit("")))
     rows = passages.select("query_id", "pos", tokens.alias("tokens")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - length + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("tokens", i, length)))
     grams = F.when(F.size("tokens") >= length, F.array_distinct(grams)).otherwise(F.array().cast("array<long>"))
-    judged = rows.filter(F.col("r") <= most).select("query_id", F.col("pos").cast("long").alias("pos"), F.xxhash64("tokens").alias("h"), F.size("tokens").alias("n"), grams.alias("grams"))
+    judged = (rows if most is None else rows.filter(F.col("r") <= most)).select("query_id", F.col("pos").cast("long").alias("pos"), F.xxhash64("tokens").alias("h"), F.size("tokens").alias("n"), grams.alias("grams"))
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos", kind="stable")
@@ -127,6 +127,8 @@ def unlike(passages: DataFrame, length: int = 4, least: int = 4, overlap: float
         return group[["query_id", "pos"]].assign(kept=kept)
 
     early = judged.groupBy("query_id").applyInPandas(judge, StructType([judged.schema["query_id"], StructField("pos", LongType()), StructField("kept", BooleanType())]))
+    if most is None:
+        return early
     late = rows.filter(F.col("r") > most).select("query_id", F.col("pos").cast("long").alias("pos"), F.lit(True).alias("kept"))
     return early.unionByName(late)
 

@@ -39,7 +39,7 @@ QUERIES = {
     "clipped_items": lambda spark, d: selection.clipped(table(spark, d, "conversations").selectExpr(*_ITEMS), 4, 300),
     "richest_sources": richest_sources,
     "merged_excerpts": merged_excerpts,
-    "unlike_passages": lambda spark, d: selection.unlike(table(spark, d, "conversations").selectExpr("conv_id % 40 AS query_id", "conv_id * 1000 + turn AS pos", "text")),
+    "unlike_passages": lambda spark, d: selection.unlike(table(spark, d, "conversations").selectExpr("conv_id % 40 AS query_id", "conv_id * 1000 + turn AS pos", "text"), most=None),
     "batch_waves": lambda spark, d: selection.waves(table(spark, d, "events").selectExpr("user_id AS query_id", "event_id AS pos", "event_type = 'error' AS failed", "cast(value AS bigint) AS n_chars"), 3, 500),
 }
 
