@@ -20,8 +20,9 @@ might not fit a task, has its strings counted one by one instead, with map-side
 combination; so no group is cut short.
 
 Cost: one row for about 170 bytes; its bucket is counted first, with map-side combination,
-and buckets of one row go no further. Texts are shuffled to give the bytes of
-contexts that need them, and once more to be cut. Names and digests have 128 bits between
+and buckets of one row go no further. Counts are written out before they are joined, so that
+a join on a phrase has two plain sides and splits a hot phrase over tasks. Texts are shuffled
+to give the bytes of contexts that need them, and once more to be cut. Names and digests have 128 bits between
 bucket and string; equal ones are taken to be equal.
 
 Cases: a null text counts as empty; a text shorter than ``length`` keeps all its bytes, and
@@ -83,7 +84,7 @@ def contexts(data: bytes, length: int, table) -> list[tuple[int, bytes, int, int
     hash64, hash128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
     e = triggers(np.frombuffer(data, dtype=np.uint8), table)
     last = len(data) - length
-    at = np.unique(np.concatenate([[0], e - WINDOW + 1, e[1:] - length]))
+    at = np.unique(np.concatenate([[0], e - WINDOW + 1, e - length]))
     at = at[(at >= 0) & (at <= last)]
     to = np.append(at[1:] - 1, last)
     lo, hi = np.searchsorted(e, at + WINDOW), np.searchsorted(e, at + length, side="right") - 2
@@ -205,12 +206,12 @@ def found(docs: DataFrame, length: int, crowd: int) -> DataFrame:
     rows = common.materialise(keyed.mapInArrow(parse, f"d long, c1 long, c2 long, {PLACE}, times int"), "suffix-contexts")
     place = F.struct("k1", "k2", "s1", "s2")
     own = rows.filter("times > 0")
-    often = own.groupBy("d").agg(F.sum("times").alias("n")).filter("n > 1").select("d")
+    often = common.materialise(own.groupBy("d").agg(F.sum("times").alias("n")).filter("n > 1").select("d"), "suffix-repeated")
     own = common.materialise(own.join(often, "d"), "suffix-often")
     folded = common.materialise(own.groupBy("d", "c1", "c2").agg(F.sum("times").alias("times"), F.min(place).alias("one")), "suffix-folded")
     known = rows.filter("times = 0").select("k1", "k2", "s1", "s2")
     copies = known.unionByName(own.join(folded.filter("times > 1").select("d", "c1", "c2"), ["d", "c1", "c2"]).select("k1", "k2", "s1", "s2"))
-    several = folded.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1")
+    several = common.materialise(folded.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-several")
     meeting = common.materialise(folded.join(several, "d").select("d", "n", "one.*"), "suffix-meeting")
 
     def with_bytes(some: DataFrame) -> DataFrame:
