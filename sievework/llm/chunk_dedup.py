@@ -14,9 +14,10 @@ byte has its like at an earlier place, so one copy of each passage stays.
 Cost: for each chunk (about 40 bytes of text) half its digest is shuffled to be counted,
 with map-side combination, and once more, with its place, to find the chunks whose half
 occurs again. Those are written out; whole digests are compared among them only. A hot
-digest is one row of the counts, and joins on digests split their hot partitions. Texts
-are shuffled once to meet their runs, and once more to give the bytes beside first copies,
-of which each is asked for once. No group is collected but one document's own chunk numbers
+digest is one row of the counts; counts and first copies are written out before they are
+joined, so that both sides of a join are plain and Spark splits a hot digest. Texts are
+shuffled once to meet their runs, and once more to give the bytes beside first copies, of
+which each is asked for once. No group is collected but one document's own chunk numbers
 and ends of runs.
 
 Cases: a null text stays null, with no chunks; an empty text stays empty. Rows that repeat
@@ -153,10 +154,11 @@ def chunks(docs: DataFrame) -> DataFrame:
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, th, n, first: the chunks that are copies of an earlier one, and its place."""
     found = chunks(docs)
-    often = found.groupBy("d1").count().filter("count > 1").select("d1")
+    often = common.materialise(found.groupBy("d1").count().filter("count > 1").select("d1"), "chunks-repeated")
     held = common.materialise(found.join(often, "d1"), "chunks")
     place = F.struct("doc_id", "th", "n")
     first = held.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    first = common.materialise(first, "chunks-first")
     return held.join(first, ["d1", "d2"]).filter(place != F.col("first")).select("doc_id", "th", "n", "first")
 
 
