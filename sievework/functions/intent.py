@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievework.functions import errors, queries
+
 BOUND = 512  # characters of a query that are read: queries are short, and the rest tells nothing more
 _FILES = "rs|py|ts|tsx|js|jsx|go|java|kt|rb|php|cs|cpp|cxx|hpp|h|swift|scala|ex|exs|hs"
 
@@ -38,28 +40,52 @@ DOCS, DOCS_PHRASES = "doc docs documentation handbook manual tutorial tutorials"
 NEWS, NEWS_PHRASES = "announced announcement headlines latest news recent recently today trending".split(), ["breaking news", "this month", "this week"]
 
 
+# Reasons that are certain, and spellings of a repository hint.
+CERTAIN = [
+    "compiler_error_code", "stack_frame", "vulnerability_identifier", "dependency_version", "repo_hint", "symbol_hint",
+    "path_hint", "file_hint", "language_hint", "host_hint", "code_token",
+]
+REPO_HINTS = ["repo:", "repository:", "project:", "repo=", "org:"]
+
+
 def derive(query: Column) -> Column:
-    """struct(intent, confidence): the first class that anything in the query speaks for; high if a
-    shape does, medium if words do, and web with low confidence if nothing does or it is null."""
+    """struct(intent, confidence, reasons): the first class that anything in the query speaks for, with
+    all that speaks for it; high if one of the reasons is certain, else medium; web with low
+    confidence if nothing does or the query is null."""
     text = F.substring(query, 1, BOUND)
     low = F.lower(text)
     words = F.split(low, "[^a-z0-9']+")
     shape = lambda *ps: F.exists(F.array(*[text.rlike(p) for p in ps]), lambda b: b)
     has = lambda ws: F.arrays_overlap(words, F.array(*[F.lit(w) for w in ws]))
     says = lambda ps: F.exists(F.array(*[F.contains(low, F.lit(p)) for p in ps]), lambda b: b)
-    is_ = lambda intent, confidence: F.struct(F.lit(intent).alias("intent"), F.lit(confidence).alias("confidence"))
-    return (
-        F.when(shape(COMPILER_CODE, FRAME), is_("code", "high"))
-        .when(says(PANICS), is_("code", "medium"))
-        .when(shape(VULNERABILITY_ID), is_("security", "high"))
-        .when(has(VULNERABILITY), is_("security", "medium"))
-        .when(shape(*VERSIONS), is_("code", "high"))
-        .when(has(MIGRATION), is_("releases", "medium"))
-        .when(shape(COMPARISON) | says(COMPARISONS), is_("web", "medium"))
-        .when(has(RELEASE) | says(RELEASES), is_("releases", "medium"))
-        .when(has(ISSUE) | says(ISSUES), is_("issues", "medium"))
-        .when(shape(*CODE_TOKENS), is_("code", "medium"))
-        .when(has(DOCS) | says(DOCS_PHRASES), is_("docs", "medium"))
-        .when(has(NEWS) | says(NEWS_PHRASES), is_("news", "medium"))
-        .otherwise(is_("web", "low"))
-    )
+    why = lambda **rs: F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rs.items()]))
+
+    def judged(x):
+        codes, h = x["codes"], x["hints"]
+        classes = [
+            ("code", why(compiler_error_code=shape(COMPILER_CODE), error_vocabulary=F.size(codes) > 0, stack_frame=shape(FRAME) | (errors.n_frames(text) > 0), panic_marker=says(PANICS))),
+            ("security", why(vulnerability_identifier=shape(VULNERABILITY_ID), vulnerability_vocabulary=has(VULNERABILITY))),
+            ("code", why(dependency_version=shape(*VERSIONS))),
+            ("releases", why(migration_vocabulary=has(MIGRATION))),
+            ("web", why(comparison_vocabulary=shape(COMPARISON) | says([*COMPARISONS, " versus "]) | low.startswith("versus "))),
+            ("releases", why(release_vocabulary=has(RELEASE) | says(RELEASES))),
+            ("issues", why(issue_vocabulary=has(ISSUE) | says(ISSUES))),
+            (
+                "code",
+                why(
+                    repo_hint=(h["owner"].isNotNull() | h["org"].isNotNull()) & says(REPO_HINTS),
+                    **{f"{k}_hint": h[k].isNotNull() for k in ("symbol", "path", "file", "language", "host")},
+                    code_token=shape(*CODE_TOKENS),
+                ),
+            ),
+            ("docs", why(docs_vocabulary=has(DOCS) | says(DOCS_PHRASES))),
+            ("news", why(news_vocabulary=has(NEWS) | says(NEWS_PHRASES))),
+        ]
+        told = F.filter(F.array(*[F.struct(F.lit(i).alias("intent"), r.alias("reasons")) for i, r in classes]), lambda c: F.size(c["reasons"]) > 0)
+        return F.get(told, 0)
+
+    first = F.get(F.transform(F.array(F.struct(errors.codes(text).alias("codes"), queries.repo_hints(text).alias("hints"))), judged), 0)
+    confidence = lambda c: F.when(F.arrays_overlap(c["reasons"], F.array(*[F.lit(r) for r in CERTAIN])), "high").otherwise("medium")
+    is_ = lambda c: F.struct(c["intent"].alias("intent"), confidence(c).alias("confidence"), c["reasons"].alias("reasons"))
+    none = F.struct(F.lit("web").alias("intent"), F.lit("low").alias("confidence"), F.array(F.lit("no_signal")).alias("reasons"))
+    return F.get(F.transform(F.array(first), lambda c: F.when(c.isNull(), none).otherwise(is_(c))), 0)

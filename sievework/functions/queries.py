@@ -19,7 +19,7 @@ SOURCE_FILE = r"\b([\w/_-]+\.(?:rs|py|js|ts|tsx|jsx|go|java|cpp|c|h|hpp))\b"
 PRIMARY = r"(?i)\b[ET]\d{3,5}\b|error|exception|panicked|failed"
 
 # Names of a hint, and the hint.
-HINTS = {"repo": "repo", "org": "org", "path": "path", "file": "file", "filename": "file", "lang": "language", "language": "language", "symbol": "symbol", "host": "host"}
+HINTS = {"repo": "repo", "repository": "repo", "project": "repo", "org": "org", "owner": "org", "path": "path", "file": "file", "lang": "language", "language": "language", "symbol": "symbol", "host": "host"}
 
 # Aliases of package ecosystems, their names at the advisory database, and where their packages are shown.
 ECOSYSTEMS = {
@@ -59,33 +59,27 @@ def error_parts(text: Column) -> Column:
 
 def repo_hints(query: Column) -> Column:
     """struct(owner, repo, org, path, file, language, symbol, host, residual) of a query: the last of
-    each name:value token; owner/repo also from the first bare word of that form; the residual is
-    what is left, in order."""
+    each name:value token (repo=owner/name too); owner/repo also from the first bare word of that
+    form; the residual is what no hint was taken from, in order."""
     words = F.filter(F.split(query, r"\s+"), lambda w: w != "")
-    names = "|".join(HINTS)
-    is_hint = lambda w: w.rlike(rf"(?i)^({names}):.+$")
+    shape = {k: rf'(?i)^(?:{"|".join(n for n, x in HINTS.items() if x == k)}){"[:=]" if k == "repo" else ":"}"*([^"].*?)?"*$' for k in dict.fromkeys(HINTS.values())}
+    value = lambda w, kind: F.nullif(F.regexp_extract(w, shape[kind], 1), F.lit(""))
+    pair = "^[^/]+/.+$"
 
     def last(kind):
-        shape = rf"(?i)^(?:{'|'.join(n for n, k in HINTS.items() if k == kind)}):\"?(.+?)\"?$"
-        mine = F.filter(words, lambda w: w.rlike(shape))
-        return F.when(F.size(mine) > 0, F.regexp_extract(F.element_at(mine, -1), shape, 1))
+        mine = F.filter(F.transform(words, lambda w: value(w, kind)), lambda v: v.isNotNull() & (v.rlike(pair) if kind == "repo" else F.lit(True)))
+        return F.when(F.size(mine) > 0, F.element_at(mine, -1))
 
-    named = last("repo")
-    named = F.when(named.rlike("^[^/]+/.+$"), named)
-    bare_shape = r"^[A-Za-z0-9][A-Za-z0-9_.-]*/[A-Za-z0-9_.-]+$"
+    bare_shape = r"^[\p{L}\p{N}_-]+/[\p{L}\p{N}_-]+$"
     bare = F.get(F.filter(words, lambda w: w.rlike(bare_shape)), 0)
-    where = F.coalesce(named, bare)
-    rest = F.filter(words, lambda w: ~is_hint(w) & ~(named.isNull() & w.eqNullSafe(bare)))
+    hints = {k: F.lower(last(k)) if k in ("language", "host") else last(k) for k in shape}
+    where = F.coalesce(hints["repo"], bare)
+    taken = lambda w: F.exists(F.array(*[(F.lower(value(w, k)) if k in ("language", "host") else value(w, k)) == hints[k] for k in shape], w.rlike(bare_shape) & (w == where)), lambda x: F.coalesce(x, F.lit(False)))
     return F.struct(
         F.substring_index(where, "/", 1).alias("owner"),
         F.regexp_replace(where, "^[^/]*/", "").alias("repo"),
-        last("org").alias("org"),
-        last("path").alias("path"),
-        last("file").alias("file"),
-        F.lower(last("language")).alias("language"),
-        last("symbol").alias("symbol"),
-        F.lower(last("host")).alias("host"),
-        F.array_join(rest, " ").alias("residual"),
+        *[hints[k].alias(k) for k in ("org", "path", "file", "language", "symbol", "host")],
+        F.array_join(F.filter(words, lambda w: ~taken(w)), " ").alias("residual"),
     )
 
 

@@ -26,18 +26,24 @@ def applicable(findings: DataFrame, advisories: DataFrame, exploited: DataFrame)
 
     findings: finding_id, ecosystem, name, version; advisories: advisory_id, ecosystem, name and
     ranges (fixed, last_affected, spec), all windows of an advisory in one row; exploited:
-    advisory_id. The join is an equality on ecosystem and canonical name; which side is broadcast
-    is left to the optimizer. Over the windows affected wins, then unknown; an advisory without
-    ranges is unknown. Confidence is high for one window, medium for several, low for none."""
+    advisory_id. Each distinct version of a package is judged once, and findings meet the verdicts
+    by equality on ecosystem, canonical name and version; which side is broadcast is left to the
+    optimizer. Over the windows affected wins, then unknown; an advisory without ranges is unknown.
+    Confidence is high for one window, medium for several, low for none."""
     keyed = lambda d: d.withColumn("package", text.package_name(F.col("ecosystem"), F.col("name"))).drop("name")
-    met = keyed(findings).join(keyed(advisories), ["ecosystem", "package"])
+    asked = keyed(findings)
+    known = exploited.select("advisory_id").distinct().withColumn("known_exploited", F.lit(True))
     each = F.transform("ranges", lambda r: range_verdict(F.col("version"), r["fixed"], r["last_affected"], r["spec"]))
     verdict = F.when(F.array_contains("each", "affected"), "affected").when(F.array_contains("each", "unknown") | (F.size("each") <= 0), "unknown").otherwise("not_affected")
     n = F.size("each")
     confidence = F.when(n == 1, "high").when(n > 1, "medium").otherwise("low")
-    known = exploited.select("advisory_id").distinct().withColumn("known_exploited", F.lit(True))
-    return (
-        met.withColumn("each", F.coalesce(each, F.array().cast("array<string>")))
+    judged = (
+        asked.select("ecosystem", "package", "version")
+        .distinct()
+        .join(keyed(advisories), ["ecosystem", "package"])
+        .withColumn("each", F.coalesce(each, F.array().cast("array<string>")))
         .join(known, "advisory_id", "left")
-        .select("finding_id", "advisory_id", verdict.alias("verdict"), confidence.alias("confidence"), F.coalesce("known_exploited", F.lit(False)).alias("known_exploited"))
+        .select("ecosystem", "package", F.col("version").alias("at"), "advisory_id", verdict.alias("verdict"), confidence.alias("confidence"), F.coalesce("known_exploited", F.lit(False)).alias("known_exploited"))
     )
+    met = asked.alias("f").join(judged.alias("j"), (F.col("f.ecosystem") == F.col("j.ecosystem")) & (F.col("f.package") == F.col("j.package")) & F.col("version").eqNullSafe(F.col("at")))
+    return met.select("finding_id", "advisory_id", "verdict", "confidence", "known_exploited")

@@ -166,7 +166,7 @@ _INTENTS = [
     (f"regexp_matches(x, {_q(_i.COMPARISON)}) OR {_any('contains', 'low', _i.COMPARISONS)}", "web", "medium"),
     (f"list_has_any(w, {_lists(_i.RELEASE)}) OR {_any('contains', 'low', _i.RELEASES)}", "releases", "medium"),
     (f"list_has_any(w, {_lists(_i.ISSUE)}) OR {_any('contains', 'low', _i.ISSUES)}", "issues", "medium"),
-    (_any("regexp_matches", "x", _i.CODE_TOKENS), "code", "medium"),
+    (_any("regexp_matches", "x", _i.CODE_TOKENS), "code", "high"),
     (f"list_has_any(w, {_lists(_i.DOCS)}) OR {_any('contains', 'low', _i.DOCS_PHRASES)}", "docs", "medium"),
     (f"list_has_any(w, {_lists(_i.NEWS)}) OR {_any('contains', 'low', _i.NEWS_PHRASES)}", "news", "medium"),
 ]

@@ -20,7 +20,7 @@ _HINTED = [
     ("serde-rs/json path:src/lib.rs parse  error", "serde-rs|json||src/lib.rs|||||parse error"),
     ('org:rust-lang file:mod.rs symbol:"Vec::push" host:GitHub', "||rust-lang||mod.rs||Vec::push|github|"),
     ("a/b c/d", "a|b|||||||c/d"),
-    ("repo:nope words", "||||||||words"),
+    ("repo:nope words", "||||||||repo:nope words"),
     ("", "||||||||"),
 ]
 _DOMAINS = {"Example.COM ": "example.com", "https://a.b": None, "a..b": None, "-a.b": None, "a.b:80": None, "*.a": None, "x-y.z": "x-y.z", "": None, "a b": None, "é.fr": None}
