@@ -2,8 +2,9 @@
 
 Text is lower-cased and cut into words. A rule is a regular expression over words with one
 word marked as its keyword by "@". A document without any keyword is passed by with one
-look; at each keyword only the rules of that keyword are tried, on as many words before and
-after it as the longest rule can take, so that the work follows the number of keywords. "licence"
+look; at each keyword only the rules of that keyword are tried, and of those only the ones that
+can have the word before it there, on as many words before and after it as the longest rule can
+take, so that the work follows the number of keywords. "licence"
 is read wherever a rule says "license", but for SPDX tags. Rules are checked on load. A detection is
 an interval of words. Of two detections of which one interval contains the other, the one
 with the higher priority stays; of equal priority the larger interval; of equal intervals
@@ -112,6 +113,83 @@ cc-by-nd          | 91 | creative @commons attribution no ?deriv(?:ative)?s(?: (
 cc-by-nc          | 91 | creative @commons attribution non ?commercial(?: (?:[0-9] [0-9]|international|unported|generic|public|license))*
 cc-by-nc-sa       | 92 | creative @commons attribution non ?commercial share ?alike(?: (?:[0-9] [0-9]|international|unported|generic|public|license))*
 cc-by-nc-nd       | 92 | creative @commons attribution non ?commercial no ?deriv(?:ative)?s(?: (?:[0-9] [0-9]|international|unported|generic|public|license))*
+afl-3.0           | 95 | academic free @license (?:version |v )?3(?: 0)?
+afl               | 85 | academic free @license
+apsl-2.0          | 95 | apple public source @license(?: (?:version |v )?2(?: 0)?)?
+aal               | 90 | attribution assurance @license
+0bsd              | 95 | (?:zero clause bsd|bsd 0 clause|0 clause bsd|0bsd) @license
+bsd-1-clause      | 95 | (?:bsd 1 clause|1 clause bsd) @license
+busl-1.1          | 95 | business source @license(?: (?:version |v )?1 1)?
+sspl-1.0          | 95 | server side public @license(?: (?:version |v )?1(?: 0)?)?
+elastic-2.0       | 95 | elastic @license (?:version |v )?2(?: 0)?
+elastic           | 80 | elastic @license
+confluent         | 90 | confluent community @license
+cecill            | 85 | cecill (?:free software )?@license(?: agreement)?
+cecill-2.1        | 95 | cecill (?:free software )?@license (?:agreement )?(?:version |v )?2 1
+ecl-2.0           | 95 | educational community @license(?: (?:version |v )?2(?: 0)?)?
+efl-2.0           | 90 | eiffel forum @license(?: (?:version |v )?2(?: 0)?)?
+eupl-1.1          | 95 | european union public @license (?:version |v )?1 1
+eupl              | 85 | european union public @license
+gfdl-1.1          | 95 | (?:gnu )?free documentation @license (?:version |v )?1 1
+gfdl-1.2          | 95 | (?:gnu )?free documentation @license (?:version |v )?1 2
+lgpl-2.1-or-later | 97 | (?:gnu )?lesser general public @license (?:version |v )?2 1 or (?:at your option )?(?:any )?later(?: version)?
+lgpl-3.0-or-later | 97 | (?:gnu )?lesser general public @license (?:version |v )?3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?
+agpl-3.0-or-later | 97 | (?:gnu )?affero general public @license (?:version |v )?3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?
+imagemagick       | 90 | imagemagick @license
+intel             | 85 | intel (?:open source|simplified software) @license
+ipl-1.0           | 90 | ibm public @license(?: (?:version |v )?1(?: 0)?)?
+lppl-1.3c         | 95 | latex project public @license (?:version |v )?1 3c?
+lppl              | 85 | latex project public @license
+libpng            | 90 | (?:libpng|png reference library) @license
+lpl-1.02          | 90 | lucent public @license(?: (?:version |v )?1 02)?
+miros             | 90 | miros @license
+mit-0             | 93 | mit (?:0|no attribution) @license
+mpl-1.0           | 95 | mozilla public @license (?:version |v )?1 0
+mulanpsl-2.0      | 95 | mulan permissive software @license(?: (?:version |v ?)?2)?
+npl-1.1           | 90 | netscape public @license(?: (?:version |v )?1 1)?
+nokia             | 85 | nokia open source @license
+ntp               | 90 | ntp @license
+osl-3.0           | 95 | open software @license (?:version |v )?3(?: 0)?
+osl               | 85 | open software @license
+oldap-2.8         | 90 | openldap public @license(?: (?:version |v )?2 8)?
+parity            | 90 | parity public @license
+polyform          | 85 | polyform (?:noncommercial|shield|strict|small business|internal use|perimeter) @license
+qpl-1.0           | 90 | q public @license(?: (?:version |v )?1(?: 0)?)?
+rpl-1.5           | 90 | reciprocal public @license(?: (?:version |v )?1 5)?
+rpsl-1.0          | 90 | realnetworks public source @license
+simpl-2.0         | 90 | simple public @license(?: (?:version |v )?2(?: 0)?)?
+sissl             | 90 | sun industry standards source @license
+sleepycat         | 90 | sleepycat @license
+spl-1.0           | 90 | sun public @license(?: (?:version |v )?1(?: 0)?)?
+upl-1.0           | 95 | universal permissive @license(?: (?:version |v )?1(?: 0)?)?
+vsl-1.0           | 90 | vovida software @license
+watcom-1.0        | 90 | (?:sybase )?open watcom public @license
+wxwindows         | 90 | wxwindows library @license
+x11               | 85 | x11 @license
+xfree86-1.1       | 90 | xfree86 @license(?: (?:version |v )?1 1)?
+zpl-2.1           | 90 | zope public @license(?: (?:version |v )?2 1)?
+blueoak-1.0.0     | 95 | blue oak model @license(?: 1 0 0)?
+bittorrent-1.1    | 90 | bittorrent open source @license
+cdla-permissive   | 95 | community data @license agreement permissive(?: (?:version |v )?[12](?: 0)?)?
+cdla-sharing      | 95 | community data @license agreement sharing(?: (?:version |v )?1(?: 0)?)?
+ogl-3.0           | 95 | open government @license (?:version |v )?3(?: 0)?
+ogl               | 85 | open government @license
+etalab-2.0        | 90 | etalab open @license(?: (?:version |v )?2(?: 0)?)?
+dl-de-by-2.0      | 90 | data @license germany attribution(?: version 2 0)?
+pddl-1.0          | 95 | (?:open data commons )?public domain dedication and @license
+free-art-1.3      | 90 | free art @license(?: 1 3)?
+json              | 85 | json @license
+curl              | 85 | curl @license
+perl              | 80 | perl @license
+oracle-bcl        | 85 | oracle binary code @license agreement
+ofl-1.0           | 95 | (?:sil )?open font @license (?:version |v )?1 0
+bitstream-vera    | 90 | bitstream vera (?:font )?@license
+mistral-research  | 90 | mistral ai research @license
+deepseek          | 85 | deepseek (?:model )?@license(?: agreement)?
+qwen              | 85 | (?:tongyi )?qianwen @license agreement
+falcon            | 85 | falcon (?:llm|180b tii) @license
+nvidia-open-model | 90 | nvidia open model @license
+eula              | 75 | end user @license agreement
 cc                | 70 | creative @commons(?: license)?
 """
 
@@ -175,6 +253,84 @@ proprietary       | 2 | 75 | @proprietary and confidential
 proprietary       | 2 | 70 | for internal use @only
 non-commercial    | 2 | 70 | for non ?commercial (?:use|purposes) @only
 non-commercial    | 2 | 70 | for (?:personal|academic|research) (?:use|purposes) @only
+mit               | 2 | 85 | the above copyright notice and this permission notice shall be included in all @copies
+mit-0             | 4 | 99 | @spdx license identifier mit 0
+apache-2.0        | 2 | 97 | you may not use this file except in @compliance with the license
+apache-2.0        | 2 | 90 | distributed on an as is basis without @warranties or conditions of any kind
+apache-2.0        | 2 | 95 | you may obtain a copy of the license at (?:https? )?www @apache org licenses license 2 0
+gpl-2.0-or-later  | 2 | 96 | either @version 2 of the license or at your option any later version
+gpl-3.0-or-later  | 2 | 96 | either @version 3 of the license or at your option any later version
+gpl-2.0           | 2 | 94 | under the terms of the gnu general public license as published by the free software @foundation version 2
+gpl               | 2 | 85 | you should have received a copy of the gnu general public license along with this @program
+lgpl              | 2 | 90 | this @library is free software you can redistribute it and or modify it
+lgpl              | 2 | 85 | you should have received a copy of the gnu lesser general public license along with this @library
+agpl              | 2 | 88 | affero general public license as published by the free software @foundation
+gpl               | 2 | 85 | @everyone is permitted to copy and distribute verbatim copies of this license document
+wtfpl             | 3 | 95 | @everyone is permitted to copy and distribute verbatim or modified copies of this license document
+bsd-3-clause      | 2 | 92 | neither the name of (?:[^ ]+ ){1,8}nor the names of its @contributors may be used to endorse
+bsd-4-clause      | 2 | 92 | all @advertising materials mentioning features or use of this software must display
+bsd               | 2 | 80 | redistributions in binary form must @reproduce the above copyright notice
+isc               | 2 | 92 | for any purpose with or without fee is hereby @granted
+zlib              | 2 | 90 | the origin of this software must not be @misrepresented
+zlib              | 2 | 88 | @altered source versions must be plainly marked as such
+boost-1.0         | 2 | 92 | to any person or organization obtaining a copy of the software and accompanying @documentation
+unlicense         | 3 | 96 | this is free and @unencumbered software released into the public domain
+mpl-2.0           | 3 | 96 | this source code form is subject to the terms of the @mozilla public license
+epl               | 3 | 92 | the accompanying materials are made available under the terms of the @eclipse public license
+cc0-1.0           | 2 | 90 | (?:[^ ]+ ){0,8}has @waived all copyright and related or neighboring rights
+cc                | 2 | 75 | this work is licensed under a creative @commons
+ofl-1.1           | 3 | 93 | this @font software is licensed under the sil open font license
+ofl-1.1           | 3 | 80 | with @reserved font name
+reserved          | 2 | 40 | some rights @reserved
+public-domain     | 2 | 70 | no rights @reserved
+public-domain     | 2 | 80 | @dedicates (?:the|this) work to the public domain
+public-domain     | 2 | 75 | no @copyright (?:is )?claimed
+reserved          | 2 | 60 | @unauthorized (?:copying|reproduction|distribution|use) (?:of (?:[^ ]+ ){1,4})?(?:via any medium )?is (?:strictly )?prohibited
+proprietary       | 2 | 75 | @confidential and proprietary
+proprietary       | 2 | 80 | this software is the confidential and @proprietary information of
+proprietary       | 2 | 70 | subject to the terms of a commercial license @agreement
+proprietary       | 2 | 65 | not for @redistribution
+proprietary       | 2 | 65 | may not be @copied modified (?:or )?distributed without
+proprietary       | 2 | 60 | contains @trade secrets of
+eula              | 2 | 65 | by installing (?:or using )?(?:this|the) software you @agree to
+non-commercial    | 2 | 75 | may not be used for @commercial purposes
+share-alike       | 2 | 65 | must be distributed under the same @license
+royalty-free      | 1 | 45 | @royalty free (?:worldwide )?(?:perpetual )?license
+warranty          | 1 | 25 | without any express or @implied warranties
+warranty          | 1 | 25 | the implied warranties of @merchantability
+copyleft          | 1 | 30 | @copyleft
+dual              | 1 | 40 | @dual licensed under
+gpl-2.0-or-later  | 3 | 88 | (?:gnu )?@gpl (?:version |v )?2(?: 0)? or (?:any )?later
+gpl-3.0-or-later  | 3 | 88 | (?:gnu )?@gpl (?:version |v )?3(?: 0)? or (?:any )?later
+lgpl-2.1          | 3 | 85 | @lgplv2 1
+lgpl-3.0          | 3 | 85 | @lgplv3
+agpl-3.0          | 3 | 85 | @agplv3
+gpl               | 1 | 40 | @gpl compatible
+sspl-1.0          | 3 | 85 | @sspl
+elastic-2.0       | 3 | 80 | @elv2
+commons-clause    | 3 | 90 | @commons clause (?:license )?condition
+gemma             | 2 | 85 | @gemma terms of use
+lgpl-2.0          | 4 | 99 | @spdx license identifier lgpl 2 0(?: only| or later)?
+gpl-1.0           | 4 | 99 | @spdx license identifier gpl 1 0(?: only| or later)?
+mpl-1.1           | 4 | 99 | @spdx license identifier mpl 1 1
+epl-2.0           | 4 | 99 | @spdx license identifier epl 2 0
+cddl-1.0          | 4 | 99 | @spdx license identifier cddl 1 0
+eupl-1.2          | 4 | 99 | @spdx license identifier eupl 1 2
+artistic-2.0      | 4 | 99 | @spdx license identifier artistic 2 0
+0bsd              | 4 | 99 | @spdx license identifier 0bsd
+zlib              | 4 | 99 | @spdx license identifier zlib
+boost-1.0         | 4 | 99 | @spdx license identifier bsl 1 0
+ms-pl             | 4 | 99 | @spdx license identifier ms pl
+ofl-1.1           | 4 | 99 | @spdx license identifier ofl 1 1
+upl-1.0           | 4 | 99 | @spdx license identifier upl 1 0
+wtfpl             | 4 | 99 | @spdx license identifier wtfpl
+postgresql        | 4 | 99 | @spdx license identifier postgresql
+python-2.0        | 4 | 99 | @spdx license identifier psf 2 0
+cc-by-nd-4.0      | 4 | 99 | @spdx license identifier cc by nd 4 0
+cc-by-nc-sa-4.0   | 4 | 99 | @spdx license identifier cc by nc sa 4 0
+busl-1.1          | 4 | 99 | @spdx license identifier busl 1 1
+sspl-1.0          | 4 | 99 | @spdx license identifier sspl 1 0
+elastic-2.0       | 4 | 99 | @spdx license identifier elastic 2 0
 """
 
 #: The phrases whose places count: label and rule.
@@ -229,6 +385,41 @@ def most_words(part: str) -> int:
     return walk(_parser.parse(part))
 
 
+def words_before(rule: str) -> set[str] | None:
+    """The words that can stand right before a rule's keyword; None if any can, or none need."""
+    before = rule.split("@", 1)[0]
+    if not before.endswith(" "):
+        return None
+
+    def tails(nodes) -> set[tuple[str, bool]]:
+        """Ends of what the nodes match, from the last space on, and whether there is one."""
+        out = {("", False)}
+        for node in reversed(list(nodes)):
+            out = {x for x in out if x[1]} | {(piece + t, done) for t, over in out if not over for piece, done in options(node)}
+        return out
+
+    def options(node) -> set[tuple[str, bool]]:
+        op, av = str(node[0]), node[1]
+        if op == "LITERAL":
+            return {("", True)} if av == 32 else {(chr(av), False)}
+        if op == "SUBPATTERN":
+            return tails(av[-1])
+        if op == "BRANCH":
+            return set().union(*[tails(x) for x in av[1]])
+        if op == "IN" and all(str(x[0]) == "LITERAL" for x in av):
+            return {(chr(x[1]), False) for x in av}
+        if op in ("MAX_REPEAT", "MIN_REPEAT"):
+            once = tails(av[2])
+            if av[1] == 1 or all(done for _, done in once):
+                return once | ({("", False)} if av[0] == 0 else set())
+        raise ValueError
+
+    try:
+        return {t for t, _ in tails(_parser.parse(before[:-1]))}
+    except ValueError:
+        return None
+
+
 #: Times that a group may repeat without a bound, and words before and after a keyword.
 STARRED = 8
 BEFORE = max(most_words(r[4].split("@", 1)[0]) for r in rules())
@@ -240,9 +431,11 @@ SPAN = "struct<first:int,last:int,rule:int>"
 def detections(words):
     """For each keyword of the words, in order, the intervals found there."""
     own = rules()
-    by: dict[str, list[int]] = {}
+    # Rules by keyword, and by the word before it where only some can stand there.
+    by: dict[str, dict[str | None, list[int]]] = {}
     for k, r in enumerate(own):
-        by.setdefault(keyword(r[4]), []).append(k)
+        for prev in words_before(r[4]) or {None}:
+            by.setdefault(keyword(r[4]), {}).setdefault(prev, []).append(k)
     at = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*by), i)))
 
     def context(i):
@@ -250,13 +443,17 @@ def detections(words):
         right = F.slice(words, i + 2, F.lit(AFTER))
         word = F.get(words, i)
         text = F.concat(F.lit(" "), F.array_join(F.concat(left, F.array(F.concat(F.lit("@"), word)), right), " "), F.lit(" "))
-        return F.struct(i.alias("at"), word.alias("word"), text.alias("text"))
+        return F.struct(i.alias("at"), word.alias("word"), F.coalesce(F.get(words, i - 1), F.lit("")).alias("prev"), text.alias("text"))
 
     def tried(c):
-        found = None
-        for word, ks in by.items():
-            each = F.array(*[F.struct(F.lit(k).alias("rule"), F.regexp_extract(c["text"], f"(?<= ){own[k][4]}(?= )", 0).alias("m")) for k in ks])
-            found = F.when(c["word"] == word, each) if found is None else found.when(c["word"] == word, each)
+        each = lambda ks: F.array(*[F.struct(F.lit(k).alias("rule"), F.regexp_extract(c["text"], f"(?<= ){own[k][4]}(?= )", 0).alias("m")) for k in sorted(set(ks))])
+        found = F
+        for word, prevs in by.items():
+            always, here = prevs.get(None, []), F
+            for prev, ks in prevs.items():
+                here = here if prev is None else here.when(c["prev"] == prev, each(ks + always))
+            rest = each(always) if always else F.array().cast("array<struct<rule:int,m:string>>")
+            found = found.when(c["word"] == word, rest if here is F else here.otherwise(rest))
         spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
         first = lambda f: c["at"] - spaces(F.substring_index(f["m"], "@", 1))
         return F.transform(
