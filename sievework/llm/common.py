@@ -16,8 +16,8 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOKEN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in one Arrow batch: texts can be long, and a batch is held whole in a worker.
-ARROW_ROWS = 512
+#: Rows and bytes in one Arrow batch: texts can be long, and a batch is held whole in a worker.
+ARROW_ROWS, ARROW_BYTES = 512, "8m"
 
 
 def by_value(module_name: str) -> None:
@@ -36,12 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; one is made only where it is unset."""
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset one is made in local
+    mode, where all run on one machine; on a cluster that folder would be another one for each."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
