@@ -1,17 +1,17 @@
 """SimHash near-duplicates: tiled exact comparison of 64-bit fingerprints.
 
 A fingerprint sums the bits of the XXH64 hashes of all word shingles. Equal fingerprints
-are folded into one first. Distinct fingerprints are cut into tiles by their population
-counts in four 16-bit quarters: the quarters' counts of two fingerprints differ by no
-more, added up, than their bits do, so a tile meets only the tiles whose counts lie within
-the radius, and every other pair of tiles is skipped. A large tile is split into parts of
-about ``tile`` fingerprints. A task compares a pair of parts by exclusive-or and bit
-counts, and answers with links to the smallest linked member, never with all pairs;
-components join the links. No pair within the radius is missed.
-
-Cost: texts are read once and not shuffled. A fingerprint travels to at most 161 tiles, as
-8 bytes; the work grows with the square of the distinct fingerprints, about one pair in
-sixteen being compared.
+are folded into one first. Distinct fingerprints are cut into tiles by the population counts
+of their two halves: the halves' counts of two fingerprints differ by no more, added up, than
+their bits do, so a tile meets only the tiles whose counts lie within the radius, and every
+other pair of tiles is skipped. A large tile is split into parts of about ``tile``
+fingerprints. A task compares a pair of parts block by block, by exclusive-or and bit counts,
+and answers with links to the smallest linked member, never with all pairs; components join
+the links. No pair within the radius is missed.
+
+Cost: texts are read once and not shuffled. A fingerprint travels to some twenty tiles, as
+8 bytes; beyond ``tile`` fingerprints in a tile that grows with the number of its parts. The
+work grows with the square of the distinct fingerprints, about one pair in four being compared.
 
 Cases: a null or empty text, or white space alone, has fingerprint zero and is linked like
 any other. Repeated rows share a fingerprint. A null id is passed over where another id
@@ -36,8 +36,10 @@ common.by_value(__name__)
 BLOCK = 65_536
 
 #: The near-dedup stage: longs of a wide SimHash, bits of the first and of all within which a
-#: pair is looked at exactly (Jaccard 0.8 gives 9.7 and 39 by the angle formula), most tiles.
-WIDE, NEAR, NEAR_WIDE, TILES = 4, 22, 68, 32
+#: pair is looked at exactly (Jaccard 0.8 gives 9.7 and 39 by the angle formula); sets in a tile at
+#: most; tiles that small tables have at most; sets of a candidate component that one task holds.
+WIDE, NEAR, NEAR_WIDE = 4, 22, 68
+TILE, FEW_TILES, HELD = 65_536, 32, 2_048
 
 
 def fingerprint_of(text: str | None, shingle: int = 4) -> int:
@@ -75,41 +77,65 @@ def with_fingerprint(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def _shifts(radius: int) -> list[int]:
-    """Differences of packed quarter counts within the radius, one of each pair of opposites, and zero."""
-    out = []
-    for d in product(range(-radius, radius + 1), repeat=4):
-        if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0):
-            out.append(sum(x << (8 * (3 - i)) for i, x in enumerate(d)))
-    return out
+    """Differences of packed counts of halves within the radius, one of each pair of opposites, and zero."""
+    return [(a << 8) + b for a, b in product(range(-radius, radius + 1), repeat=2) if abs(a) + abs(b) <= radius and (a, b) >= (0, 0)]
 
 
-def links_between(a, b, radius: int):
-    """(member, smallest member it reaches) for the linked fingerprints of two int64 arrays."""
+def joined(a, b):
+    """(member, smallest member it reaches) of links between the values of two int64 arrays."""
     import numpy as np
 
-    ua, ub = a.view(np.uint64), b.view(np.uint64)
-    near = np.concatenate([np.bitwise_count(ua[k : k + 256, None] ^ ub[None, :]) <= radius for k in range(0, len(a), 256)])
-    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-    near = near[np.ix_(rows, cols)]
-    va, vb = a[rows], b[cols]
-    la, lb = va.copy(), vb.copy()
-    top = np.iinfo(np.int64).max
-    while len(la):
-        na = np.minimum(la, np.where(near, lb[None, :], top).min(axis=1))
-        nb = np.minimum(lb, np.where(near, na[:, None], top).min(axis=0))
-        if (na == la).all() and (nb == lb).all():
+    keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, low = at[: len(a)], at[len(a) :], np.arange(len(keys))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, new[i])
+        new = new[new]
+        if (new == low).all():
             break
-        la, lb = na, nb
-    member, least = np.concatenate([va, vb]), np.concatenate([la, lb])
-    return member[member != least], least[member != least]
+        low = new
+    held = low != np.arange(len(keys))
+    return keys[held], keys[low[held]]
 
 
-def links(distinct: DataFrame, radius: int = 4, tile: int = 2048) -> DataFrame:
+def links_between(a, b, radius: int):
+    """(member, smallest member it reaches) for the linked fingerprints of two int64 arrays."""
+    import numpy as np
+
+    ua, ub = a.view(np.uint64), b.view(np.uint64)
+    top, found, size = np.iinfo(np.int64).max, [], 0
+    for r in range(0, len(a), 256):
+        for c in range(0, len(b), 8192):
+            near = np.bitwise_count(ua[r : r + 256, None] ^ ub[None, c : c + 8192]) <= radius
+            rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(rows):
+                continue
+            # Of the links of a block enough to join what it joins: each row and its first column
+            # and each column and its first row.
+            near, va, vb = near[np.ix_(rows, cols)], a[rows + r], b[cols + c]
+            first = np.minimum(va, np.where(near, vb[None, :], top).min(axis=1))
+            least = np.minimum(vb, np.where(near, first[:, None], top).min(axis=0))
+            back = np.where(near, least[None, :], top).min(axis=1)
+            while (back < first).any():
+                first = np.minimum(first, back)
+                least = np.minimum(least, np.where(near, first[:, None], top).min(axis=0))
+                back = np.where(near, least[None, :], top).min(axis=1)
+            found.append((np.concatenate([va, vb]), np.concatenate([first, least])))
+            size += len(va) + len(vb)
+            if size > 1_000_000:
+                found = [joined(*map(np.concatenate, zip(*found, strict=True)))]
+                size = len(found[0][0])
+    return joined(*map(np.concatenate, zip(*found, strict=True))) if found else (a[:0], a[:0])
+
+
+def links(distinct: DataFrame, radius: int = 4, tile: int = 262_144) -> DataFrame:
     """(a, b): links that join all fingerprints within the radius; distinct has a long fp, each once."""
-    quarters = [F.bit_count(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(0xFFFF))).cast("long") for s in (48, 32, 16, 0)]
-    key = F.shiftleft(quarters[0], 24) + F.shiftleft(quarters[1], 16) + F.shiftleft(quarters[2], 8) + quarters[3]
-    keyed = distinct.select("fp", key.alias("key"))
-    # At most 17 ** 4 keys, whatever the input: small enough to broadcast.
+    spark = distinct.sparkSession
+    common.small_batches(spark)
+    halves = [F.bit_count(F.shiftrightunsigned("fp", 32)).cast("long"), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).cast("long")]
+    keyed = distinct.select("fp", (F.shiftleft(halves[0], 8) + halves[1]).alias("key"))
+    # At most 33 ** 2 keys, whatever the input: small enough to broadcast.
     parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     tiles = common.materialise(
         keyed.join(F.broadcast(parts), "key")
@@ -120,26 +146,27 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 2048) -> DataFrame:
     )
     shifts = F.explode(F.array(*[F.lit(x).cast("long") for x in _shifts(radius)]))
     met = (
-        tiles.withColumn("shift", shifts)
-        .select("key", "part", "fps", (F.col("key") + F.col("shift")).alias("other"))
+        tiles.select("key", "part", shifts.alias("shift"))
+        .withColumn("other", F.col("key") + F.col("shift"))
         .join(F.broadcast(parts.select(F.col("key").alias("other"), F.col("parts").alias("others"))), "other")
         .withColumn("other_part", F.explode(F.sequence(F.when(F.col("key") == F.col("other"), F.col("part")).otherwise(F.lit(0)), F.col("others") - 1)))
+        .select("key", "part", "other", "other_part")
     )
-    pairs = met.join(tiles.select(F.col("key").alias("other"), F.col("part").alias("other_part"), F.col("fps").alias("other_fps")), ["other", "other_part"]).select("fps", "other_fps")
+    # Few rows of much work each: dealt over a number of tasks that does not follow their bytes.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    there = tiles.select(F.col("key").alias("other"), F.col("part").alias("other_part"), F.col("fps").alias("other_fps"))
+    pairs = met.join(tiles.drop("parts"), ["key", "part"]).repartition(n, "other", "other_part").join(there.repartition(n, "other", "other_part"), ["other", "other_part"]).select("fps", "other_fps")
 
     def compare(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            out = []
             a, b = batch.column(0), batch.column(1)
             av, bv = a.values.to_numpy(), b.values.to_numpy()
             ao, bo = a.offsets.to_numpy(), b.offsets.to_numpy()
             for i in range(batch.num_rows):
-                out.append(links_between(av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]], radius))
-            got = [np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], ["a", "b"])
+                got = links_between(av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], ["a", "b"])
 
     return pairs.mapInArrow(compare, "a long, b long")
 
@@ -252,33 +279,31 @@ def wide_links(a, b, least: float):
             i, j = i[bits <= NEAR_WIDE], j[bits <= NEAR_WIDE]
             if not len(i):
                 continue
-            keys, at = np.unique(np.concatenate([ka[i], kb[j]]), return_inverse=True)
-            i, j, low = at[: len(i)], at[len(i) :], np.arange(len(keys))
-            while True:
-                new = low.copy()
-                np.minimum.at(new, i, low[j])
-                np.minimum.at(new, j, new[i])
-                if (new == low).all():
-                    break
-                low = new
-            held = low != np.arange(len(keys))
-            out.append(np.stack([keys[held], keys[low[held]]], axis=1))
+            out.append(np.stack(joined(ka[i], kb[j]), axis=1))
     return np.unique(np.concatenate(out), axis=0)
 
 
 def candidates(sets: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b): links that join the sets (k, n, w0, ...) whose sizes and wide SimHashes allow ``least``.
 
-    Sets stand in tiles by size, at most TILES of them whatever the input, and a pair of tiles
-    whose sizes rule ``least`` out is not compared. Sets of under four have no neighbour but themselves."""
+    Sets stand in tiles by size, of at most about TILE, and a pair of tiles whose sizes rule
+    ``least`` out is not compared. Sets of under four have no neighbour but themselves."""
+    spark = sets.sparkSession
+    common.small_batches(spark)
     own = sets.filter(F.col("n") * (1 - least) >= least - 1e-9)
-    tiles = max(1, min(TILES, -(-own.count() // 8192)))
+    count = own.count()
+    tiles = max(1, -(-count // TILE), min(FEW_TILES, -(-count // 8192)))
     ranged = own.repartitionByRange(tiles, "n", "k").withColumn("tile", F.spark_partition_id())
     row = F.struct("k", "n", *[f"w{i}" for i in range(WIDE)])
     made = common.materialise(ranged.groupBy("tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_list(row).alias("rows")), "wide-tiles")
-    other = made.select(*[F.col(c).alias(f"other_{c}") for c in made.columns])
-    met = made.join(other, (F.col("tile") <= F.col("other_tile")) & (F.col("hi") >= least * F.col("other_lo")) & (F.col("other_hi") >= least * F.col("lo")))
-    pairs = met.repartition(min(tiles * (tiles + 1) // 2, 200), "tile", "other_tile").select("rows", "other_rows")
+    # The bounds of the tiles, not what is in them: a row for each TILE sets. Tiles follow each
+    # other by size, so the partners of a tile are those up to the last that begins near enough.
+    bounds = sorted(made.select("tile", "lo", "hi").collect())
+    upto = [(t, max(u for u, lo, _ in bounds[k:] if hi >= least * lo)) for k, (t, _, hi) in enumerate(bounds)]
+    met = spark.createDataFrame(upto, "tile int, last int").withColumn("other_tile", F.explode(F.sequence("tile", "last"))).drop("last")
+    n = min(len(bounds) * (len(bounds) + 1) // 2 or 1, max(200, 8 * tiles))
+    there = made.select(F.col("tile").alias("other_tile"), F.col("rows").alias("other_rows"))
+    pairs = met.join(made.select("tile", "rows"), "tile").join(there, "other_tile").repartition(n, "tile", "other_tile").select("rows", "other_rows")
 
     def compare(batches):
         import pyarrow as pa
@@ -320,9 +345,23 @@ def joined_sets(sets: list, least: float) -> list[int]:
     return out
 
 
+def chunked(members: DataFrame, held: int = HELD) -> DataFrame:
+    """members plus chunks, the number of chunks that the component comp is dealt into: one up to
+    ``held`` sets, else so many that two chunks have about ``held``."""
+    sizes = members.groupBy("comp").agg(F.count("*").alias("n"))
+    sizes = sizes.select("comp", F.when(F.col("n") <= held, 1).otherwise(F.ceil(F.col("n") / (held / 2))).cast("int").alias("chunks"))
+    return members.join(common.materialise(sizes, "chunk-numbers"), "comp")
+
+
 def confirmed(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(k, root) for (k, comp, text): the components of comp that hold by exact Jaccard similarity."""
+    """(k, root) for (k, comp, chunks, text): the components of comp that hold by exact Jaccard similarity.
+
+    A component of one chunk is settled in one task. Of a larger one every pair of chunks meets
+    in a task of its own, and what the tasks link is joined, so no task holds a large component."""
     common.small_batches(texts.sparkSession)
+    chunk = F.pmod(F.xxhash64("k"), F.col("chunks").cast("long")).cast("int")
+    with_all = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, chunk).alias("c"), F.greatest(j, chunk).alias("d"))))
+    dealt = texts.select("k", "comp", "text", with_all.alias("to")).select("k", "comp", "to.c", "to.d", "text")
 
     def confirm(batches):
         import pyarrow as pa
@@ -333,17 +372,20 @@ def confirmed(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFra
 
         now, keys, sets = None, [], []
         for batch in batches:
-            for k, comp, text in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
-                if comp != now and keys:
+            for k, comp, c, d, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if (comp, c, d) != now and keys:
                     yield settle(keys, sets)
                     keys, sets = [], []
-                now = comp
+                now = (comp, c, d)
                 keys.append(k)
                 sets.append(shingles_of(text, shingle))
         if keys:
             yield settle(keys, sets)
 
-    return texts.select("k", "comp", "text").repartition("comp").sortWithinPartitions("comp", "k").mapInArrow(confirm, "k long, root long")
+    found = dealt.repartition("comp", "c", "d").sortWithinPartitions("comp", "c", "d", "k").mapInArrow(confirm, "k long, root long")
+    found = common.materialise(found, "confirmed")
+    star = stars(found.select(F.col("k").alias("a"), F.col("root").alias("b")))
+    return found.select("k").distinct().join(star.withColumnRenamed("a", "k"), "k", "left").select("k", F.coalesce("b", "k").alias("root"))
 
 
 def unlike_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -351,7 +393,7 @@ def unlike_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     similarity of ``least`` or more: that of the smallest doc_id, a null id last.
 
     Texts of equal sets are folded into one. Wide SimHashes find the candidates, their components
-    bring the texts of candidates together once, and exact similarity decides inside."""
+    bring the texts of candidates together, and exact similarity decides inside."""
     place = {"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")}
     own = common.materialise(sketches(docs, shingle), "sketches")
     words = [f"w{i}" for i in range(WIDE)]
@@ -359,7 +401,7 @@ def unlike_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     sets = common.materialise(own.groupBy("k", "n", *words).agg(one.alias("one")), "sets")
     star = stars(candidates(sets.select("k", "n", *words), least))
     members = star.select(F.col("a").alias("k"), F.col("b").alias("comp")).unionByName(star.select(F.col("b").alias("k"), F.col("b").alias("comp")).distinct())
-    wanted = members.join(sets, "k").select("k", "comp", F.coalesce("one.doc_id", F.lit(-(2**63))).alias("_i"), F.col("one.th").alias("_th"))
+    wanted = chunked(members.join(sets, "k")).select("k", "comp", "chunks", F.coalesce("one.doc_id", F.lit(-(2**63))).alias("_i"), F.col("one.th").alias("_th"))
     wanted = common.materialise(wanted, "candidates")
     texts = docs.select("doc_id", "text").withColumns(place).join(wanted, ["_i", "_th"]).dropDuplicates(["_i", "_th", "k"])
     roots = common.materialise(confirmed(texts, least, shingle), "roots")
