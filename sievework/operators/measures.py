@@ -49,3 +49,30 @@ def attempt_counts(attempts: DataFrame) -> DataFrame:
     )
     low, high = wilson(F.col("succeeded") + F.col("zero_results"), F.col("attempts"))
     return done.withColumns({"low": F.round(low, 9), "high": F.round(high, 9)})
+
+
+def dimensions(states: DataFrame) -> DataFrame:
+    """Of each query_id, from rows (query_id, role, state, truncation): distinct roles attempted,
+    complete and indeterminate, dimensions by what they came to, and whether any failed or was cut."""
+    kind = lambda *s: F.col("state").isin(*s)
+    roles = lambda c: F.count_distinct(F.when(c, F.col("role")))
+    cut = F.coalesce(F.col("truncation").isin("confirmed_by_engine", "confirmed_by_provider"), F.lit(False))
+    failed = kind("failed", "interrupted")
+    return states.groupBy("query_id").agg(
+        F.count_distinct("role").alias("roles_attempted"),
+        roles(kind("satisfied", "completed_no_match")).alias("roles_complete"),
+        roles(failed | kind("skipped_by_policy", "capability_unavailable", "partial")).alias("roles_indeterminate"),
+        F.count("*").alias("attempted"),
+        F.count_if(kind("satisfied", "completed_no_match", "partial", "not_applicable")).alias("completed"),
+        F.count_if(failed).alias("failed"),
+        F.count_if(kind("not_applicable")).alias("not_applicable"),
+        F.bool_or(failed).alias("has_failures"),
+        F.bool_or(kind("partial") | cut).alias("has_truncation"),
+    )
+
+
+def first_warnings(warnings: DataFrame) -> DataFrame:
+    """The first by pos of the warnings of a query_id that share code and set of providers."""
+    keyed = warnings.withColumn("key", F.array_sort("providers"))
+    rest = F.struct("pos", *[F.col(c) for c in warnings.columns if c not in ("query_id", "code", "pos")])
+    return keyed.groupBy("query_id", "code", "key").agg(F.min_by(rest, "pos").alias("w")).select("query_id", "code", "w.*")
