@@ -15,15 +15,24 @@ OTHER_REST = 30
 BIN = 64
 
 
-def streaks(calls: DataFrame) -> DataFrame:
+def streaks(calls: DataFrame, slice: str = "hour") -> DataFrame:
     """calls (provider, call_id, ts, failed, ...) with streak: failures in a row up to this call.
 
-    A success opens an island; both windows run over one sort of a provider's calls, which spills."""
-    w = Window.partitionBy("provider").orderBy("ts", "call_id")
-    island = F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return calls.withColumn("island", island).withColumn(
-        "streak", F.sum(F.when(F.col("failed"), 1).otherwise(0)).over(Window.partitionBy("provider", "island").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("island")
+    Calls are counted within slices of time, so that a busy provider is spread over tasks; what a
+    slice begins with is the failures that the slices before it end with, from a table of slices."""
+    sliced = calls.withColumn("slice", F.date_trunc(slice, "ts"))
+    w = Window.partitionBy("provider", "slice").orderBy("ts", "call_id")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    island = sliced.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(upto(w)))
+    own = Window.partitionBy("provider", "slice", "island").orderBy("ts", "call_id")
+    local = island.withColumn("own", F.sum(F.when(F.col("failed"), 1).otherwise(0)).over(upto(own)))
+    ends = local.groupBy("provider", "slice").agg((F.max("island") > 0).cast("int").alias("reset"), F.max_by("own", F.struct("ts", "call_id")).alias("trail"))
+    by_time = Window.partitionBy("provider").orderBy("slice")
+    grouped = ends.withColumn("group", F.sum("reset").over(upto(by_time)))
+    total = F.sum("trail").over(upto(Window.partitionBy("provider", "group").orderBy("slice")))
+    carried = grouped.withColumn("total", total).withColumn("carried", F.coalesce(F.lag("total").over(by_time), F.lit(0))).select("provider", "slice", "carried")
+    met = local.join(carried, ["provider", "slice"])
+    return met.select(*[F.col(f"`{c}`") for c in calls.columns], (F.col("own") + F.when(F.col("island") == 0, F.col("carried")).otherwise(0)).alias("streak"))
 
 
 def cooldowns(calls: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -60,6 +69,19 @@ def cooldowns(calls: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return found.select("provider", "call_id", F.timestamp_micros("start").alias("start"), F.timestamp_micros("until").alias("until"))
 
 
+def circuits(calls: DataFrame, threshold: int = 5, rest_ms: int = 30_000, base_ms: int = 250, most_ms: int = 10_000) -> DataFrame:
+    """calls (origin, call_id, ts, outcome) with failures, longest_delay_ms and open_until: what the
+    breaker of an origin makes of each call. Retryable and rate-limited failures in a row are
+    counted; a success or another failure starts anew; from ``threshold`` on the circuit opens, for
+    two minutes at most. The delay is drawn at random up to longest_delay_ms, so only that is given."""
+    again = F.col("outcome").isin("retryable", "rate_limited")
+    own = streaks(calls.withColumnRenamed("origin", "provider").withColumn("failed", again)).withColumnRenamed("provider", "origin")
+    n = F.col("streak")
+    until = F.when(again & (n >= threshold), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + min(rest_ms, 120_000) * 1000))
+    longest = F.when(again, F.least(F.call_function("shiftleft", F.lit(base_ms), F.least(n, F.lit(6)).cast("int")), F.lit(most_ms)))
+    return own.select(*[F.col(f"`{c}`") for c in calls.columns], n.alias("failures"), longest.cast("long").alias("longest_delay_ms"), until.alias("open_until"))
+
+
 def cached(requests: DataFrame, stored: DataFrame, ttl: int = 300) -> DataFrame:
     """requests with stored_id: the last complete answer of its key stored at or before it and no
     older than ttl seconds; else null. An as-of join by one sort of both sides' union: no request

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("retrieval", "evidence", "classify", "selecting", "stateful", "reading", "judging", "asking", "knowing")
+_MODULES: tuple[str, ...] = ("retrieval", "evidence", "classify", "selecting", "stateful", "reading", "judging", "asking", "knowing", "weighing")
 
 
 def _each(name: str) -> dict:
