@@ -6,13 +6,14 @@ to length one. A one-versus-one linear support vector machine tells families apa
 the family that wins, further machines, one for each pair of languages, vote on the
 language. Machines are fitted in the driver by gradient descent on the squared hinge loss,
 on the feature vectors of a bounded sample: about ``sample`` documents of each language,
-those of the smallest hashes of their ids. Features are computed in the tasks, over whole
+those of the smallest hashes of their ids, and about ``total`` of all languages together. Features are computed in the tasks, over whole
 texts; a document's prediction is one narrow pass, without a shuffle.
 
 Cases: a text that is null, empty or without a letter is "und" with score 0, as is every
 text if nothing was learned. A language outside the family table is a family of its own.
-One language alone is always predicted. Repeated rows are learned and predicted each.
-Columns that clash with the result's are replaced.
+One language alone is always predicted. Repeated rows are learned and predicted each. A very
+long text is read whole and costs time in proportion. Columns that clash with the result's
+are replaced.
 """
 
 from __future__ import annotations
@@ -118,9 +119,10 @@ def predict(text: str | None, model: dict) -> tuple[str, float]:
     return lang, sure * also
 
 
-def train(docs: DataFrame, sample: int = 400) -> dict:
-    """Machines from docs' text and lang; at most about ``sample`` vectors of each language
-    reach the driver, and no text does. A corpus of over 200 languages is refused."""
+def train(docs: DataFrame, sample: int = 400, total: int = 8_000) -> dict:
+    """Machines from docs' text and lang; at most about ``sample`` vectors of each language and
+    ``total`` in all (64 MB) reach the driver, and no text does. A corpus of over 200 languages is
+    refused."""
     import numpy as np
 
     common.small_batches(docs.sparkSession)
@@ -130,7 +132,8 @@ def train(docs: DataFrame, sample: int = 400) -> dict:
         raise ValueError("more than 200 languages")
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(y) for lang, n in sizes.items() for y in (lang, min(1.0, sample / n))])
+    each = min(sample, total / len(sizes))
+    share = F.create_map(*[F.lit(y) for lang, n in sizes.items() for y in (lang, min(1.0, each / n))])
     place = (F.shiftright("_h", 11) / F.lit(float(2**53))) + 0.5
 
     @F.pandas_udf("binary")
