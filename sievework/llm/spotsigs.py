@@ -19,6 +19,9 @@ run has at most 65 distinct rows, so no group grows with the input.
 Cases: a null text counts as empty, with no words: its one chain is the empty text's.
 Rows are ordered by doc_id, null first, then by a hash of the text; a repeated row is
 followed by its repeat. A single row is followed by itself. An empty table gives no rows.
+A very long text is one row with one set, and costs time in proportion. with_next() reads
+doc_id and text and leaves other columns out; fingerprints() replaces columns that clash with
+its own.
 """
 
 from __future__ import annotations
@@ -129,7 +132,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs plus sigs, fingerprint and length_class."""
-    out = docs.withColumn("sigs", signatures(F.col("text")))
+    kept = [c for c in docs.columns if c.lower() not in {"sigs", "fingerprint", "length_class"}]
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], signatures(F.col("text")).alias("sigs"))
     return out.withColumns({"fingerprint": fingerprint(F.col("sigs")), "length_class": length_class(F.col("sigs"))})
 
 

@@ -16,7 +16,8 @@ stack of a rule is found among rules only. No rule table is broadcast by force.
 
 Cases: a null url or one without "://" has an empty host and path and gets no rule. Ports
 and user names belong to the host as the contract reads it. Empty rules or pages give the
-default verdict or no rows. Repeated rows are judged each. Rules that repeat count once;
+default verdict or no rows. Repeated rows are judged each; a very long url is judged whole,
+and only its host is in the sorted key. Rules that repeat count once;
 of rules equally long, the longer host wins, then the text order. Columns that clash with
 the result's are replaced, others kept.
 """
