@@ -28,7 +28,7 @@ def links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     sources = pages.filter("page_id % 3 != 0").selectExpr("page_id AS source_id", "url", "page_id % 17 AS place")
     listed = hits(spark, sf_dir).withColumn("page", F.regexp_extract("url", "/([0-9]+)", 1).cast("long"))
-    fetches = listed.filter("query_id = 0").select(F.concat_ws("-", "provider", "rank").alias("fetch_id"), F.when(F.col("rank") % 4 == 0, F.col("rank")).cast("long").alias("source_id"), "url")
+    fetches = listed.select(F.concat_ws("-", "query_id", "provider", "rank").alias("fetch_id"), F.when(F.col("rank") % 4 == 0, F.col("rank")).cast("long").alias("source_id"), "url")
     return evidence.linked(fetches, sources)
 
 
@@ -52,7 +52,7 @@ ORACLES = {
   WHEN h IN {_in(kinds.NEWS)} OR regexp_matches(h, 'news|blog') THEN 'news' ELSE 'unknown' END AS kind
 FROM (SELECT page_id, {_HOST} AS h, {_PATH} AS p FROM (SELECT page_id, {_MADE} AS u FROM pages))""",
     "fetch_links": f"""WITH {HITS}, s AS (SELECT page_id AS source_id, {_key_sql("url")} AS key, page_id % 17 AS place FROM pages WHERE page_id % 3 <> 0),
-f AS (SELECT provider || '-' || rank AS fetch_id, CASE WHEN rank % 4 = 0 THEN rank END AS sid, {_key_sql("url")} AS key FROM hits WHERE query_id = 0),
+f AS (SELECT query_id || '-' || provider || '-' || rank AS fetch_id, CASE WHEN rank % 4 = 0 THEN rank END AS sid, {_key_sql("url")} AS key FROM hits),
 k AS (SELECT key, source_id AS by_key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place, source_id) AS r FROM s) WHERE r = 1)
 SELECT fetch_id, coalesce(s.source_id, by_key) AS source_id, CASE WHEN s.source_id IS NOT NULL THEN 'id' WHEN by_key IS NOT NULL THEN 'url' END AS link
 FROM f LEFT JOIN s ON s.source_id = f.sid LEFT JOIN k ON k.key = f.key""",

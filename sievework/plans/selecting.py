@@ -39,7 +39,7 @@ QUERIES = {
     "clipped_items": lambda spark, d: selection.clipped(table(spark, d, "conversations").selectExpr(*_ITEMS), 4, 300),
     "richest_sources": richest_sources,
     "merged_excerpts": merged_excerpts,
-    "unlike_passages": lambda spark, d: selection.unlike(table(spark, d, "conversations").selectExpr("conv_id % 40 AS query_id", "conv_id * 1000 + turn AS pos", "text"), most=None),
+    "unlike_passages": lambda spark, d: selection.unlike(table(spark, d, "conversations").selectExpr("cast(floor(conv_id / 25) AS bigint) AS query_id", "conv_id * 1000 + turn AS pos", "text"), most=None),
     "batch_waves": lambda spark, d: selection.waves(table(spark, d, "events").selectExpr("user_id AS query_id", "event_id AS pos", "event_type = 'error' AS failed", "cast(value AS bigint) AS n_chars"), 3, 500),
 }
 
@@ -70,7 +70,7 @@ k AS (SELECT * FROM t WHERE norm <> '' AND norm IS DISTINCT FROM {_NORM.format(c
 f AS (SELECT *, row_number() OVER (PARTITION BY card, norm ORDER BY list_no, score DESC, pos) AS r FROM k),
 p AS (SELECT card, text, row_number() OVER (PARTITION BY card ORDER BY list_no, score DESC, pos) AS place FROM f WHERE r = 1)
 SELECT card, place, text FROM p WHERE place <= 3""",
-    "unlike_passages": f"""WITH RECURSIVE t AS (SELECT conv_id % 40 AS query_id, conv_id * 1000 + turn AS pos, {_TOKENS} AS w FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)),
+    "unlike_passages": f"""WITH RECURSIVE t AS (SELECT conv_id // 25 AS query_id, conv_id * 1000 + turn AS pos, {_TOKENS} AS w FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)),
 o AS (SELECT query_id, pos, array_to_string(w, ' ') AS said, CASE WHEN len(w) < 4 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g,
       row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM t),
 s AS (SELECT DISTINCT query_id, 0::BIGINT AS n, []::STRUCT(said VARCHAR, g VARCHAR[])[] AS kept, NULL::BIGINT AS pos, false AS ok FROM o
