@@ -24,6 +24,7 @@ rows.
 
 from __future__ import annotations
 
+import json
 import re
 from re import _parser
 
@@ -428,32 +429,34 @@ AFTER = max(most_words(r[4].split("@", 1)[1]) for r in rules())
 SPAN = "struct<first:int,last:int,rule:int>"
 
 
+def constant(value, kind: str):
+    """A value of many parts as one constant of a plan, which stays small however many rules there are."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def detections(words):
     """For each keyword of the words, in order, the intervals found there."""
-    own = rules()
     # Rules by keyword, and by the word before it where only some can stand there.
-    by: dict[str, dict[str | None, list[int]]] = {}
-    for k, r in enumerate(own):
+    by: dict[str, list[dict]] = {}
+    for k, r in enumerate(rules()):
         for prev in words_before(r[4]) or {None}:
-            by.setdefault(keyword(r[4]), {}).setdefault(prev, []).append(k)
-    at = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*by), i)))
+            place = keyword(r[4]) if prev is None else f"{keyword(r[4])} {prev}"
+            by.setdefault(place, []).append({"rule": k, "shape": f"(?<= ){r[4]}(?= )"})
+    listed = "array<struct<rule:int,shape:string>>"
+    table = constant(by, f"map<string,{listed}>")
+    at = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(sorted({k.split(" ")[0] for k in by})), i)))
 
     def context(i):
         left = F.slice(words, F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE)))
         right = F.slice(words, i + 2, F.lit(AFTER))
         word = F.get(words, i)
         text = F.concat(F.lit(" "), F.array_join(F.concat(left, F.array(F.concat(F.lit("@"), word)), right), " "), F.lit(" "))
-        return F.struct(i.alias("at"), word.alias("word"), F.coalesce(F.get(words, i - 1), F.lit("")).alias("prev"), text.alias("text"))
+        some = lambda key: F.coalesce(F.try_element_at(table, key), F.array().cast(listed))
+        tries = F.concat(some(word), some(F.concat(word, F.lit(" "), F.coalesce(F.get(words, i - 1), F.lit("")))))
+        return F.struct(i.alias("at"), tries.alias("tries"), text.alias("text"))
 
     def tried(c):
-        each = lambda ks: F.array(*[F.struct(F.lit(k).alias("rule"), F.regexp_extract(c["text"], f"(?<= ){own[k][4]}(?= )", 0).alias("m")) for k in sorted(set(ks))])
-        found = F
-        for word, prevs in by.items():
-            always, here = prevs.get(None, []), F
-            for prev, ks in prevs.items():
-                here = here if prev is None else here.when(c["prev"] == prev, each(ks + always))
-            rest = each(always) if always else F.array().cast("array<struct<rule:int,m:string>>")
-            found = found.when(c["word"] == word, rest if here is F else here.otherwise(rest))
+        found = F.transform(c["tries"], lambda r: F.struct(r["rule"].alias("rule"), F.call_function("regexp_extract", c["text"], r["shape"], F.lit(0)).alias("m")))
         spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
         first = lambda f: c["at"] - spaces(F.substring_index(f["m"], "@", 1))
         return F.transform(
@@ -467,7 +470,7 @@ def detections(words):
 def kept(found):
     """The detections that no other suppresses."""
     own = rules()
-    priority = F.array(*[F.lit(r[1]) for r in own])
+    priority = constant([r[1] for r in own], "array<int>")
     reach = BEFORE + AFTER
 
     def stays(s, near):
@@ -492,8 +495,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and
     detections (first and last word, label and relevance of those that stay)."""
     own = rules()
-    names, relevance = F.array(*[F.lit(r[0]) for r in own]), F.array(*[F.lit(r[2]) for r in own])
-    base = F.array(*[F.lit(r[3]) for r in own])
+    names, relevance = constant([r[0] for r in own], "array<string>"), constant([r[2] for r in own], "array<int>")
+    base = constant([r[3] for r in own], "array<boolean>")
     extra = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"}
     cols = [c for c in docs.columns if c.lower() not in extra]
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), common.UPPER, common.LOWER)
