@@ -3,7 +3,9 @@
 Every round hangs each node's larger neighbours, then its smaller ones, on the smallest
 node it sees; the edge table ends as stars around the smallest node of each component.
 Rounds grow with the logarithm of the longest chain. Each round is written to the shared
-folder, so a lost executor costs one round. Nothing is collected but two sums.
+folder, so a lost executor costs one round; so is what each node sees before it is joined, so
+that both sides of a join are plain and Spark splits the edges of a node with very many.
+Nothing is collected but two sums.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ def stars(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = common.materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = common.materialise(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        below = common.materialise(large.groupBy("a").agg(F.min("b").alias("m")), "below")
         small = large.join(below, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = common.materialise(small.unionByName(below.withColumnRenamed("m", "b")).distinct(), "edges")
         before, mark = mark, _mark(now)

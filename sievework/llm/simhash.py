@@ -178,7 +178,8 @@ def components(fps: DataFrame, radius: int = 4) -> DataFrame:
     linked = star.unionByName(star.select(F.col("b").alias("a"), "b").distinct())
     ids = linked.join(first.withColumnRenamed("fp", "a"), "a")
     found = ids.groupBy("b").agg(F.min("first").alias("least")).join(linked, "b").select(F.col("a").alias("fp"), "least")
-    return first.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Written out, so that what is joined to it by fp has two plain sides and a hot one is split.
+    return common.materialise(first.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "component-ids")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
