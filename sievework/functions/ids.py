@@ -15,50 +15,62 @@ NAMESPACE = "sievework-id-v1"
 # Fixed values of FNV-1a with 64 bits.
 OFFSET, PRIME = 14695981039346656037, 1099511628211
 
-_UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
 
 
-def _encoded(part: Column, literal: str) -> Column:
-    """Bytes beyond ``literal`` percent-encoded in upper case; encodings of unreserved characters
-    decoded, others left with upper-case digits."""
-    unit = r"%[0-9A-Fa-f]{2}|[\s\S]"
-    plain = set(_UNRESERVED + literal)
-    decoded = F.create_map(*[F.lit(x) for c in _UNRESERVED for x in (f"%{ord(c):02X}", c)])
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often it stands in the body."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+# Characters that are never encoded, in a character class.
+_UNRESERVED = r"A-Za-z0-9._~-"
+
+
+def _encoded(part: Column, plain: str) -> Column:
+    """Characters outside the class ``plain`` percent-encoded in upper case; encodings of unreserved
+    characters decoded, others left with upper-case digits."""
 
     def one(u):
-        pair = u.rlike("^%[0-9A-Fa-f]{2}$")
+        meant = F.char(F.conv(F.substring(u, 2, 2), 16, 10).cast("int"))
         bytes_ = F.regexp_replace(F.hex(F.encode(u, "UTF-8")), "([0-9A-F]{2})", "%$1")
-        return F.when(pair, F.coalesce(F.try_element_at(decoded, F.upper(u)), F.upper(u))).when(u.isin(*plain), u).otherwise(bytes_)
+        return F.when(F.length(u) == 3, F.when(meant.rlike(f"^[{_UNRESERVED}]$"), meant).otherwise(F.upper(u))).when(u.rlike(f"^[{plain}]$"), u).otherwise(bytes_)
 
-    return F.array_join(F.transform(F.regexp_extract_all(part, F.lit(unit), 0), one), "")
+    return F.array_join(F.transform(F.regexp_extract_all(part, F.lit(r"%[0-9A-Fa-f]{2}|[\s\S]"), 0), one), "")
 
 
 def canonical_url(url: Column) -> Column:
     """A URL as it counts for identity: scheme and host in lower case, without www., default port,
     fragment and trailing slashes, with percent-encodings in one form; the order of parameters is
     kept. Text without "://" is a path: without fragment, encoded and trimmed alike."""
-    u = F.trim(url)
-    whole = u.rlike("(?s)^[^:]*?://|://")
-    scheme = F.when(whole, F.lower(F.substring_index(u, "://", 1)))
-    rest = F.when(whole, F.substring(u, F.length(scheme) + 4, F.length(u))).otherwise(u)
-    authority = F.when(F.contains(rest, F.lit("/")), F.substring_index(rest, "/", 1)).otherwise(F.regexp_extract(rest, r"^[^?#]*", 0))
-    tail = F.substring_index(F.substring(rest, F.when(whole, F.length(authority)).otherwise(0) + 1, F.length(rest)), "#", 1)
-    user = F.regexp_extract(authority, "^(.*@)?", 1)
-    host = F.regexp_replace(F.lower(F.substring(authority, F.length(user) + 1, F.length(authority))), r"^www\.", "")
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_replace(_encoded(F.substring_index(tail, "?", 1), "/"), "/+$", "")
-    query = F.regexp_extract(tail, r"\?[\s\S]*$", 0)
-    query = _encoded(query, "".join(map(chr, range(1, 128))))
-    full = F.concat(scheme, F.lit("://"), user, host, F.when(path == "", "/").otherwise(path), query)
-    return F.when(whole, full).otherwise(F.concat(F.when(path == "", "/").otherwise(path), query))
+    return _let(F.trim(url), lambda u: _let(_split(u), _canonical))
+
+
+def _split(u: Column) -> Column:
+    """struct(scheme, authority, tail): scheme and authority are null for a path alone."""
+    whole = F.contains(u, F.lit("://"))
+    rest = F.when(whole, F.regexp_replace(u, "(?s)^.*?://", "")).otherwise(u)
+    authority = F.when(whole, F.coalesce(F.nullif(F.regexp_extract(rest, "(?s)^([^/]*)/", 1), F.lit("")), F.when(rest.startswith("/"), F.lit("")).otherwise(F.regexp_extract(rest, "^[^?#]*", 0))))
+    return F.struct(
+        F.when(whole, F.lower(F.substring_index(u, "://", 1))).alias("scheme"),
+        authority.alias("authority"),
+        F.substring_index(F.substring(rest, F.coalesce(F.length(authority), F.lit(0)) + 1, F.length(rest)), "#", 1).alias("tail"),
+    )
+
+
+def _canonical(x: Column) -> Column:
+    bare = F.regexp_replace(F.lower(F.regexp_replace(x["authority"], "(?s)^.*@", "")), r"^www\.", "")
+    host = F.when(x["scheme"] == "http", F.regexp_replace(bare, ":80$", "")).when(x["scheme"] == "https", F.regexp_replace(bare, ":443$", "")).otherwise(bare)
+    path = F.regexp_replace(_encoded(F.substring_index(x["tail"], "?", 1), "/" + _UNRESERVED), "/+$", "")
+    rest = F.concat(_let(path, lambda p: F.when(p == "", "/").otherwise(p)), _encoded(F.regexp_extract(x["tail"], r"\?[\s\S]*$", 0), r"\x00-\x7F"))
+    site = F.concat(x["scheme"], F.lit("://"), F.regexp_extract(x["authority"], "(?s)^(.*@)?", 1), host)
+    return F.when(x["tail"].isNotNull(), F.concat(F.coalesce(site, F.lit("")), rest))
 
 
 def _prefixed(field: Column) -> Column:
     """The bytes of a text after their number in four bytes, the lowest first; a null counts as empty."""
-    data = F.encode(F.coalesce(field.cast("string"), F.lit("")), "UTF-8")
-    size = F.lpad(F.hex(F.octet_length(data)), 8, "0")
-    little = F.concat(*[F.substring(size, k, 2) for k in (7, 5, 3, 1)])
-    return F.concat(F.unhex(little), data)
+    size = lambda d: F.lpad(F.hex(F.octet_length(d)), 8, "0")
+    little = lambda n: F.unhex(F.concat(*[F.substring(n, k, 2) for k in (7, 5, 3, 1)]))
+    return _let(F.encode(F.coalesce(field.cast("string"), F.lit("")), "UTF-8"), lambda d: F.concat(_let(size(d), little), d))
 
 
 def line_number(n: Column) -> Column:

@@ -154,8 +154,8 @@ def generic_queries(spark, sf_dir):
 
 
 def repo_subqueries(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("q ecosystem package", _REPO), {"ecosystem": "string", "package": "string"})
-    return c.select("p_partkey", _told(planning.repo_subqueries(queries.repo_hints(F.col("q")), F.col("ecosystem"), F.col("package"))).alias("subqueries"))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("q ecosystem package", _REPO), {"ecosystem": "string", "package": "string"}).withColumn("h", queries.repo_hints(F.col("q")))
+    return c.select("p_partkey", _told(planning.repo_subqueries(F.col("h"), F.col("ecosystem"), F.col("package"))).alias("subqueries"))
 
 
 def research_plans(spark, sf_dir):
