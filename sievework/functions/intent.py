@@ -84,7 +84,7 @@ def derive(query: Column) -> Column:
         told = F.filter(F.array(*[F.struct(F.lit(i).alias("intent"), r.alias("reasons")) for i, r in classes]), lambda c: F.size(c["reasons"]) > 0)
         return F.get(told, 0)
 
-    first = F.get(F.transform(F.array(F.struct(errors.codes(text).alias("codes"), queries.repo_hints(text).alias("hints"))), judged), 0)
+    first = F.get(F.transform(F.array(F.struct(errors.codes(text).alias("codes"), F.when(text.rlike("[:=/]"), queries.repo_hints(text)).alias("hints"))), judged), 0)
     confidence = lambda c: F.when(F.arrays_overlap(c["reasons"], F.array(*[F.lit(r) for r in CERTAIN])), "high").otherwise("medium")
     is_ = lambda c: F.struct(c["intent"].alias("intent"), confidence(c).alias("confidence"), c["reasons"].alias("reasons"))
     none = F.struct(F.lit("web").alias("intent"), F.lit("low").alias("confidence"), F.array(F.lit("no_signal")).alias("reasons"))

@@ -36,23 +36,29 @@ ECOSYSTEMS = {
 
 def redacted(text: Column) -> Column:
     """Secrets, identifiers and addresses of memory replaced by what they are."""
-    out = F.regexp_replace(text, SECRET, "<secret>")
+    out = F.when(text.rlike("[=:]"), F.regexp_replace(text, SECRET, "<secret>")).otherwise(text)
     return F.regexp_replace(F.regexp_replace(out, UUID, "<uuid>"), ADDRESS, "<address>")
 
 
 def error_parts(text: Column) -> Column:
     """struct(codes, statuses, packages, files, modules, frames, primary): distinct pieces in order of
     first appearance; primary is the first line that speaks of an error, else the first that is not blank."""
-    every = lambda p, k=1: F.array_distinct(F.regexp_extract_all(text, F.lit(p), k))
+    none = F.array().cast("array<string>")
+
+    def every(p, k=1, sign=None):
+        """All matches; where a plain sign that each of them holds is missing, the pattern is not tried."""
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(p), k))
+        return found if sign is None else F.when(F.contains(text, F.lit(sign)), found).when(text.isNotNull(), none)
+
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
     wrong = F.filter(lines, lambda x: x.rlike(PRIMARY))
     return F.struct(
         F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CODES), 1), F.upper)).alias("codes"),
         every(HTTP_STATUS).alias("statuses"),
-        every(CARGO_PACKAGE).alias("packages"),
-        every(SOURCE_FILE).alias("files"),
-        every(MODULE_PATH).alias("modules"),
-        every(PYTHON_FRAME, 0).alias("frames"),
+        every(CARGO_PACKAGE, sign="`").alias("packages"),
+        every(SOURCE_FILE, sign=".").alias("files"),
+        every(MODULE_PATH, sign="::").alias("modules"),
+        every(PYTHON_FRAME, 0, sign="File \"").alias("frames"),
         F.coalesce(F.get(wrong, 0), F.get(lines, 0)).alias("primary"),
     )
 
