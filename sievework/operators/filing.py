@@ -102,3 +102,17 @@ def with_local(local: DataFrame, remote: DataFrame, most: int) -> DataFrame:
     far = remote.select("query_id", "pos").withColumn("k", own).filter(F.col("k") <= most).select("query_id", "pos", F.lit("remote").alias("origin"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("origin", "pos"))
     return near.unionByName(far).withColumn("place", place).filter(F.col("place") <= most)
+
+
+def candidates(files: DataFrame, most: int, score, language: str | None = None, file: str | None = None, folder: str | None = None) -> DataFrame:
+    """repo, place, path, score: of the files of a repository that fit all hints given the best
+    2 x ``most``, those of equal score by path. files: repo, path, language and what score reads."""
+    fits = F.lit(True)
+    if language is not None:
+        fits = fits & F.coalesce(F.col("language") == language, F.lit(False))
+    if file is not None:
+        fits = fits & F.contains(F.substring_index("path", "/", -1), F.lit(file))
+    if folder is not None:
+        fits = fits & F.contains(F.lower("path"), F.lit(folder.lower()))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "path"))
+    return files.filter(fits).withColumn("score", score).withColumn("place", place).filter(F.col("place") <= 2 * most).select("repo", "place", "path", "score")
