@@ -65,3 +65,67 @@ def clipped_warning(text: Column, most: Column) -> Column:
     """The code of a warning, cut to so many characters; where none are left, only a code that a colon ends."""
     code = F.substring_index(text, ":", 1)
     return F.when(most == 0, F.when(F.contains(text, F.lit(":")), code).otherwise("")).otherwise(F.substring(code, F.lit(1), most))
+
+
+# Bounds of what is read for imports, and how a line of a language imports.
+SCANNED, MOST_IMPORTS, IMPORT_CHARS = 50, 30, 200
+IMPORTS = {
+    "rust": "^(?:pub )?use ", "python": "^(?:import |from .* import )", "typescript": r"^(?:import |from |require\()", "javascript": r"^(?:import |from |require\()", "go": '^(?:import |".*"$)',
+}
+
+
+def imports(text: Column, language: Column) -> Column:
+    """The lines at the top of a source text that import something, comments passed over."""
+    lines = F.transform(F.slice(F.split(text, "\r?\n"), 1, SCANNED), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    shape = named(IMPORTS, language)
+    own = F.filter(lines, lambda x: ~x.rlike(r"^(?://|#|/\*|\*|$)") & F.coalesce(F.regexp_like(x, shape), F.lit(False)))
+    return F.transform(F.slice(own, 1, MOST_IMPORTS), lambda x: F.substring(x, 1, IMPORT_CHARS))
+
+
+def markdown(blocks: Column) -> Column:
+    """Blocks (kind, level, language, text) as Markdown."""
+    def lines(b):
+        fence = F.concat(F.lit("```"), F.coalesce(b["language"], F.lit("")), F.lit("\n"), b["text"], F.lit("\n```"))
+        body = (
+            F.when(b["kind"] == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce(b["level"], F.lit(1))), F.lit(" "), b["text"]))
+            .when(b["kind"] == "list_item", F.concat(F.lit("- "), b["text"]))
+            .when(b["kind"] == "code", fence)
+            .when(b["kind"] == "quote", F.regexp_replace(b["text"], "(?m)^", "> "))
+            .when(b["kind"] == "definition", F.concat(F.lit("**"), b["text"], F.lit("**")))
+            .when(b["kind"] == "rule", "---")
+            .when(b["kind"].isin("paragraph", "table"), b["text"])
+            .otherwise(F.nullif(b["text"], F.lit("")))
+        )
+        empty = (b["kind"] == "quote") & (b["text"] == "")
+        return F.concat(F.when(empty, "").otherwise(body), F.when((b["kind"] == "list_item") | empty, "\n").otherwise("\n\n"))
+
+    return F.regexp_replace(F.array_join(F.transform(blocks, lines), ""), r"\n+$", "")
+
+
+def bad_url(url: Column) -> Column:
+    """Why a URL can't be fetched; null if it can."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    return F.when(u == "", "empty").when(~F.lower(u).rlike("^https?://"), "scheme")
+
+
+def bad_path(path: Column) -> Column:
+    """Why a path of a repository is refused; null if it is not."""
+    p = F.coalesce(path, F.lit(""))
+    return F.when(F.trim(p) == "", "empty").when(p.rlike(r"(?:^|/)\.\.(?:/|$)"), "parent").when(p.startswith("/"), "absolute")
+
+
+def bad_package(ecosystem: Column, name: Column, namespace: Column) -> Column:
+    """Why the coordinate of a package is refused; null if it is not."""
+    n = F.coalesce(name, F.lit(""))
+    delimiter, segment = r"[?#&\"<>\\\p{Cntrl}]", r"(?:^|/)\.{0,2}(?:/|$)"
+    return (
+        F.when(F.trim(n) == "", "empty")
+        .when(F.contains(n, F.lit(" ")), "space")
+        .when(n.rlike(delimiter), "delimiter")
+        .when(n.rlike(segment), "segment")
+        .when(F.contains(namespace, F.lit("..")) | namespace.startswith("/") | namespace.endswith("/"), "traversal")
+        .when(namespace.rlike(delimiter), "delimiter")
+        .when(namespace.rlike(segment), "segment")
+        .when((ecosystem == "maven") & F.contains(n, F.lit(":")), "colon")
+        .when((ecosystem == "oci") & F.contains(n, F.lit("..")), "traversal")
+    )

@@ -59,9 +59,45 @@ def candidate_files(spark, sf_dir):
     score = local.file_score(F.col("path"), F.lit("main.rs"), F.array(F.lit("parse"), F.lit("main")), F.col("language"), F.col("role"))
     return filing.candidates(t, 3, score, language="rust", file=".rs", folder="SRC")
 
+#: language, source text, imports.
+_SOURCES = [
+    ("rust", "// use a\nuse std::fmt;\r\n  pub use crate::x;\nfn use_it() {}\nuser", "use std::fmt;|pub use crate::x;"), ("python", "# import os\nimport os\nfrom a import b\nfrom nowhere\nimporter", "import os|from a import b"), ("javascript", "import x from 'y'\nrequire('z')\n* import", "import x from 'y'|require('z')"),
+    ("go", 'import (\n\t"fmt"\n\tx "y"\n)', 'import (|"fmt"'), ("cobol", "import x", ""), (None, "import x", ""), ("python", "x\n" * 50 + "import late", ""), ("rust", "", ""),
+]
+#: URL, fault; path, fault; ecosystem, package, namespace, fault.
+_CHECKED = [
+    ("https://x", None, "src/a.rs", None, "npm", "left-pad", None, None), (" ", "empty", "", "empty", "npm", " ", None, "empty"), ("ftp://x", "scheme", "a/../b", "parent", "npm", "a b", None, "space"), ("HTTP://x", None, "/etc", "absolute", "npm", "a?b", None, "delimiter"),
+    (None, "empty", "a..b/c", None, "npm", "a//b", None, "segment"), ("http:/x", "scheme", "..", "parent", "npm", "@s/..", None, "segment"), ("x", "scheme", " ", "empty", "maven", "g:a", "org.x", "colon"), ("https://", None, "./a", None, "maven", "a", "/org", "traversal"),
+    ("https://y", None, "a", None, "maven", "a", "o#x", "delimiter"), ("https://y", None, "a", None, "npm", "a", "o/./x", "segment"), ("https://y", None, "a", None, "oci", "a..b", "lib", "traversal"), ("https://y", None, "a", None, "oci", "a.b", "lib", None), ("https://y", None, "a", None, None, "a:b", "x..y", "traversal"),
+]
+
+
+def source_imports(spark, sf_dir):
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("lang t", _SOURCES))
+    return c.select("p_partkey", F.array_join(shaping.imports(F.col("t"), F.col("lang")), "|").alias("imports"))
+
+
+def address_faults(spark, sf_dir):
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("u p e n ns", [(r[0], r[2], *r[4:7]) for r in _CHECKED]))
+    return c.select("p_partkey", shaping.bad_url(F.col("u")).alias("url"), shaping.bad_path(F.col("p")).alias("path"), shaping.bad_package(F.col("e"), F.col("n"), F.col("ns")).alias("package"))
+
+
+def rendered(spark, sf_dir):
+    """Turns of conversations as blocks of a document, as Markdown."""
+    t = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{cases.dealt('(conv_id + turn)', _BLOCKS)} AS kind", "cast(1 + turn % 3 AS int) AS level", "CASE turn % 2 WHEN 0 THEN 'py' END AS language", "CASE WHEN turn % 5 = 4 THEN '' ELSE concat(substr(text, 1, 20), '\n', turn) END AS text")
+    blocks = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "kind", "level", "language", "text"))).alias("b"))
+    return blocks.select("conv_id", shaping.markdown(F.col("b")).alias("markdown"))
+
 
-QUERIES = {"workflow_models": workflow_models, "code_evidence": code_evidence, "cut_texts": cut_texts, "candidate_files": candidate_files}
+_BLOCKS = ["heading", "paragraph", "list_item", "code", "table", "quote", "definition", "rule"]
+QUERIES = {"source_imports": source_imports, "address_faults": address_faults, "rendered_markdown": rendered, "workflow_models": workflow_models, "code_evidence": code_evidence, "cut_texts": cut_texts, "candidate_files": candidate_files}
 ORACLES = {
+    "source_imports": cases.expected("part", "p_partkey", {"imports": [r[2] for r in _SOURCES]}),
+    "address_faults": cases.expected("part", "p_partkey", {"url": [r[1] for r in _CHECKED], "path": [r[3] for r in _CHECKED], "package": [r[7] for r in _CHECKED]}),
+    "rendered_markdown": f"""WITH t AS (SELECT conv_id, turn, {cases.dealt('(conv_id + turn)', _BLOCKS)} AS kind, CASE WHEN turn % 5 = 4 THEN '' ELSE substr(text, 1, 20) || chr(10) || turn END AS x FROM conversations),
+l AS (SELECT conv_id, turn, CASE kind WHEN 'heading' THEN repeat('#', (1 + turn % 3)::INT) || ' ' || x || chr(10) || chr(10) WHEN 'list_item' THEN '- ' || x || chr(10) WHEN 'code' THEN '```' || CASE turn % 2 WHEN 0 THEN 'py' ELSE '' END || chr(10) || x || chr(10) || '```' || chr(10) || chr(10)
+  WHEN 'quote' THEN CASE WHEN x = '' THEN chr(10) ELSE array_to_string(list_transform(string_split(x, chr(10)), lambda y: '> ' || y), chr(10)) || chr(10) || chr(10) END WHEN 'definition' THEN '**' || x || '**' || chr(10) || chr(10) WHEN 'rule' THEN '---' || chr(10) || chr(10) ELSE x || chr(10) || chr(10) END AS y FROM t)
+SELECT conv_id, regexp_replace(string_agg(y, '' ORDER BY turn), '\\n+$', '') AS markdown FROM l GROUP BY conv_id""",
     "workflow_models": cases.expected("events", "event_id", cases.columns("model by", [r[5:] for r in _MODELS])).replace("AS by", 'AS "by"'),
     "code_evidence": cases.expected("part", "p_partkey", cases.columns("raw_url browser_url permalink language role reasons", [r[8:] for r in _CODE])),
     "cut_texts": cases.expected("part", "p_partkey", {"text": [r[2] for r in _CUTS], "warning": [r[4][: r[1]] if r[1] and r[3] != "nocolon" else r[4] for r in _CUTS]}),
