@@ -92,3 +92,16 @@ def severity(name: Column) -> Column:
 
 def severity_rank(level: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), level), F.lit(0))
+
+
+# The state of a dimension by why evidence is absent, where no state is on record.
+ABSENCES = {
+    "not_applicable": "other_absence", "no_matching_evidence_found": "completed_no_match", "provider_failed": "failed", "deadline_prevented_completion": "interrupted",
+    "provider_skipped_by_policy": "skipped_by_policy", "provider_capability_unavailable": "capability_unavailable", "result_truncated_by_cap": "partial",
+    "evidence_role_requested_but_not_found": "completed_no_match", "evidence_role_indeterminate_because_retrieval_failed": "failed", "evidence_role_not_requested": "not_applicable",
+}
+
+
+def effective_state(state: Column, absence: Column) -> Column:
+    """The state of a dimension, else the one that its absence stands for."""
+    return F.coalesce(state, named(ABSENCES, absence))

@@ -102,3 +102,38 @@ def boosted_by_hints(cards: DataFrame) -> DataFrame:
     out = cards.withColumns({"units": total, "best": best}).withColumn("raised", F.round(raised, 9))
     place = F.row_number().over(Window.partitionBy("query_id", "group").orderBy(F.desc_nulls_last("raised"), "pos"))
     return out.select("query_id", "group", place.alias("place"), "pos", F.col("raised").alias("score"))
+
+
+# Kinds of failure by the outcome of an attempt, and what is said of the provider.
+FAILURES = {
+    "failed": ("provider_failed", "failed"), "timed_out": ("deadline_prevented_completion", "timed out"), "rate_limited": ("provider_failed", "rate limited"),
+    "interrupted_by_deadline": ("deadline_prevented_completion", "interrupted by global deadline"), "skipped_by_policy": ("provider_skipped_by_policy", "skipped by policy"),
+    "skipped_capability_unavailable": ("provider_capability_unavailable", "lacks the requested capability"),
+}
+CLASSED = ["failed", "timed_out", "rate_limited"]
+
+
+def failures(attempts: DataFrame) -> DataFrame:
+    """attempt_id, kind, role, message: a row for each distinct role that an attempt was for, where it
+    did not come to a result. attempts: attempt_id, provider, outcome, roles (array), class."""
+    table = lambda k: F.create_map(*[F.lit(x) for o, v in FAILURES.items() for x in (o, v[k])])
+    told = F.concat(F.when(F.col("outcome").isin(CLASSED) & F.col("class").isNotNull(), F.concat(F.lit("["), "class", F.lit("] "))).otherwise(""), F.lit("provider "), F.col("provider"), F.lit(" "), F.try_element_at(table(1), F.col("outcome")))
+    roles = F.when(F.coalesce(F.size("roles"), F.lit(0)) > 0, F.array_distinct("roles")).otherwise(F.array(F.lit("unknown_or_weak_context")))
+    return attempts.filter(F.col("outcome").isin(*FAILURES)).select("attempt_id", F.try_element_at(table(0), F.col("outcome")).alias("kind"), F.explode(roles).alias("role"), told.alias("message"))
+
+
+def deadlines(jobs: DataFrame) -> DataFrame:
+    """query_id, completed, partial, interrupted, skipped, exceeded: subqueries of a request by what they
+    came to at its deadline: all jobs ended; none running and some not begun; else interrupted, partly
+    completed if any job ended. jobs: query_id, subquery, state (ended, running or pending)."""
+    each = jobs.groupBy("query_id", "subquery").agg(
+        F.bool_and(F.col("state") == "ended").alias("whole"),
+        F.bool_or(F.col("state") == "ended").alias("some"),
+        F.bool_or(F.col("state") == "running").alias("runs"),
+        F.bool_or(F.col("state") == "pending").alias("waits"),
+    )
+    skipped = ~F.col("whole") & F.col("waits") & ~F.col("runs")
+    cut = ~F.col("whole") & ~skipped
+    return each.groupBy("query_id").agg(
+        F.count_if("whole").alias("completed"), F.count_if(cut & F.col("some")).alias("partial"), F.count_if(cut).alias("interrupted"), F.count_if(skipped).alias("skipped"), F.bool_or(~F.col("whole")).alias("exceeded")
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievework.functions import outcomes
 from sievework.operators import dispatch, measures, research, state
 from sievework.plans import cases
 from sievework.session import table
@@ -139,7 +140,30 @@ def wilson(spark, sf_dir):
     return c.select("provider", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
+_TRIES = cases.dealt("event_id", ["failed", "timed_out", "rate_limited", "interrupted_by_deadline", "skipped_by_policy", "skipped_capability_unavailable", "success_with_results", "not_applicable"])
+
+
+def attempt_failures(spark, sf_dir):
+    made = table(spark, sf_dir, "events").selectExpr("event_id AS attempt_id", "concat('p', user_id % 8) AS provider", f"{_TRIES} AS outcome", "CASE event_id % 3 WHEN 0 THEN array('a', 'b', 'a') WHEN 1 THEN array('b') ELSE array() END AS roles", "CASE user_id % 2 WHEN 0 THEN 'blocked' END AS class")
+    return dispatch.failures(made.withColumn("roles", F.col("roles").cast("array<string>")))
+
+
+_STATE = "CASE WHEN l_suppkey % 5 < 3 THEN 'ended' WHEN l_partkey % 2 = 0 THEN 'running' ELSE 'pending' END"
+#: state on record, why evidence is absent, state.
+_STATES = [
+    ("partial", "provider_failed", "partial"), (None, "not_applicable", "other_absence"), (None, "no_matching_evidence_found", "completed_no_match"), (None, "provider_failed", "failed"), (None, "deadline_prevented_completion", "interrupted"), (None, "provider_skipped_by_policy", "skipped_by_policy"),
+    (None, "provider_capability_unavailable", "capability_unavailable"), (None, "result_truncated_by_cap", "partial"), (None, "evidence_role_requested_but_not_found", "completed_no_match"), (None, "evidence_role_indeterminate_because_retrieval_failed", "failed"), (None, "evidence_role_not_requested", "not_applicable"),
+]
+
+
+def effective_states(spark, sf_dir):
+    c = cases.given(spark, sf_dir, "events", "event_id", cases.columns("state absence", _STATES))
+    return c.select("event_id", outcomes.effective_state(F.col("state"), F.col("absence")).alias("state"))
+
+
 QUERIES = {
+    "attempt_failures": attempt_failures, "effective_states": effective_states,
+    "deadline_counts": lambda s, d: dispatch.deadlines(table(s, d, "lineitem").selectExpr("l_orderkey AS query_id", "l_linenumber % 3 AS subquery", f"{_STATE} AS state")),
     "research_coverage": covered, "research_gaps": research_gaps, "research_claims": lambda s, d: research.claims(cards(s, d)), "research_conflicts": lambda s, d: research.conflicts(cards(s, d)),
     "role_summary": lambda s, d: research.role_summary(cards(s, d)), "group_quality": lambda s, d: research.group_quality(cards(s, d)), "bundle_gaps": bundle_gaps, "provenance_fits": provenance_fits, "distinct_advisories": distinct_advisories,
     "advisory_windows": advisory_windows, "focus_picks": focus_picks, "routed_providers": routed, "dispatch_jobs": dispatch_jobs, "provider_outcomes": provider_outcomes,
@@ -156,6 +180,13 @@ _G = """g AS (SELECT query_id, "group", group_no, count(*) AS n_sources, count(*
 _TYPE = """CASE "group" WHEN 'benchmarks' THEN 'performance' WHEN 'security_considerations' THEN 'security' WHEN 'issue_threads' THEN 'maintenance' WHEN 'release_notes' THEN 'maintenance' WHEN 'community_discussion' THEN 'ecosystem' WHEN 'recent_news' THEN 'ecosystem' WHEN 'unknown' THEN 'unknown' ELSE 'architecture' END"""
 _z = 1.959963984540054
 ORACLES = {
+    "attempt_failures": f"""WITH a AS (SELECT event_id, 'p' || user_id % 8 AS p, {_TRIES} AS o, CASE event_id % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['b'] ELSE ['unknown_or_weak_context'] END AS rs, CASE user_id % 2 WHEN 0 THEN '[blocked] ' ELSE '' END AS c FROM events)
+SELECT event_id AS attempt_id, CASE o WHEN 'failed' THEN 'provider_failed' WHEN 'timed_out' THEN 'deadline_prevented_completion' WHEN 'rate_limited' THEN 'provider_failed' WHEN 'interrupted_by_deadline' THEN 'deadline_prevented_completion' WHEN 'skipped_by_policy' THEN 'provider_skipped_by_policy' ELSE 'provider_capability_unavailable' END AS kind,
+  unnest(rs) AS role, CASE o WHEN 'failed' THEN c || 'provider ' || p || ' failed' WHEN 'timed_out' THEN c || 'provider ' || p || ' timed out' WHEN 'rate_limited' THEN c || 'provider ' || p || ' rate limited' WHEN 'interrupted_by_deadline' THEN 'provider ' || p || ' interrupted by global deadline'
+  WHEN 'skipped_by_policy' THEN 'provider ' || p || ' skipped by policy' ELSE 'provider ' || p || ' lacks the requested capability' END AS message FROM a WHERE o NOT IN ('success_with_results', 'not_applicable')""",
+    "effective_states": cases.expected("events", "event_id", {"state": [r[2] for r in _STATES]}),
+    "deadline_counts": f"""WITH j AS (SELECT l_orderkey AS q, l_linenumber % 3 AS s, {_STATE} AS state FROM lineitem), e AS (SELECT q, s, bool_and(state = 'ended') AS whole, bool_or(state = 'ended') AS part, bool_or(state = 'running') AS runs, bool_or(state = 'pending') AS waits FROM j GROUP BY q, s)
+SELECT q AS query_id, count(*) FILTER (whole) AS completed, count(*) FILTER (NOT whole AND (runs OR NOT waits) AND part) AS "partial", count(*) FILTER (NOT whole AND (runs OR NOT waits)) AS interrupted, count(*) FILTER (NOT whole AND waits AND NOT runs) AS skipped, bool_or(NOT whole) AS exceeded FROM e GROUP BY q""",
     "research_coverage": f"WITH {_CARDS_SQL}, {_COVER} SELECT * FROM v",
     "research_gaps": f"""WITH {_CARDS_SQL}, {_COVER}, w AS (SELECT *, {cases.dealt("query_id", _FLOWS)} AS f FROM v),
 k AS (SELECT query_id, list_filter([CASE WHEN "primary" = 0 AND f IN ('architecture_decision', 'api_evaluation', 'security_review') THEN 'no_primary_sources' END, CASE WHEN recent = 0 AND f IN ('ecosystem_survey', 'performance_investigation') THEN 'no_recent_sources' END,
