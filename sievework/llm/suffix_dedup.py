@@ -271,7 +271,7 @@ def found(docs: DataFrame, length: int, crowd: int) -> DataFrame:
                     )
 
         strings = with_bytes(meeting.filter(F.col("n") > crowd)).mapInArrow(single, "h binary, k1 long, k2 long, s1 int")
-        again = strings.groupBy("h").count().filter("count > 1").select("h")
+        again = common.materialise(strings.groupBy("h").count().filter("count > 1").select("h"), "suffix-strings")
         out = out.unionByName(strings.join(again, "h").select("k1", "k2", "s1", F.col("s1").alias("s2")))
     return out
 
