@@ -33,6 +33,30 @@ def _blocks(content: Column) -> Column:
     return F.transform(F.filter(blocks, lambda b: value(b, "name") != ""), lambda b: _found(value(b, "name"), value(b, "version")))
 
 
+def _cargo_manifest(content: Column) -> Column:
+    """Entries of the dependency tables, also those of one target, in file order: name = "range",
+    name = { version = "range" }, or a table of its own; the name is that of the package where the
+    entry renames it, and an entry without a range has none."""
+    head = r"""^(?:target\.(?:'[^']*'|"[^"]*"|[^.\]]+)\.)?(?:dev-|build-)?dependencies"""
+    sections = F.filter(F.split(content, r"(?m)^\s*\["), lambda x: x.rlike(head + r"(?:\.[^\]]+)?\]"))
+    key = lambda x, k: F.regexp_extract(x, rf"""(?:^|[\s{{,]){k}\s*=\s*["']([^"']*)["']""", 1)
+    entry = r"""^\s*["']?([A-Za-z0-9_-]+)["']?\s*=\s*(?:["']([^"']*)["']|\{(.*)\})\s*(?:#.*)?$"""
+
+    def renamed(alias, body):
+        return F.coalesce(F.nullif(key(body, "package"), F.lit("")), alias)
+
+    def one(x):
+        alias, plain, body = (F.regexp_extract(x, entry, k) for k in (1, 2, 3))
+        return _found(renamed(alias, body), F.when(plain != "", plain).otherwise(key(body, "version")))
+
+    def rows(x):
+        own = F.regexp_extract(x, head + r"""\.["']?([^\]"']+)["']?\]""", 1)
+        lines = F.transform(F.filter(F.split(x, r"\r?\n"), lambda y: y.rlike(entry)), one)
+        return F.when(own != "", F.array(_found(renamed(own, x), key(x, "version")))).otherwise(lines)
+
+    return F.flatten(F.transform(sections, rows))
+
+
 def _entries(m: Column, name, version) -> Column:
     return F.transform(F.map_entries(F.coalesce(m, F.create_map().cast(m_type(version)))), lambda e: _found(name(e["key"]), version(e["value"])))
 
@@ -141,6 +165,7 @@ def _docker(content: Column) -> Column:
 # File name (lower case) or its ending -> (ecosystem, reader).
 READERS = [
     (r"^cargo\.lock$", "crates.io", _blocks),
+    (r"^cargo\.toml$", "crates.io", _cargo_manifest),
     (r"^(poetry|uv)\.lock$", "pypi", _blocks),
     (r"^requirements.*\.(txt|in)$", "pypi", lambda c: _lines(c, r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(?:(?:===?|>=|<=|~=|!=|<|>)\s*([^\s;#,]+))?[^:/]*$")),
     (r"^pipfile\.lock$", "pypi", _pipfile),
