@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sievework.llm import chunk_dedup, decontaminate, html_extract, langid, license_scan, mixing, simhash, spotsigs, suffix_dedup, url_filter
+from sievework.llm import (
+    chunk_dedup, decontaminate, html_extract, importance, langid, license_scan, line_quality, mixing, simhash, spotsigs, suffix_dedup, url_filter, yinyang,
+)
 
 
 def pipeline(spark, sf_dir: str):
@@ -24,6 +26,9 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.query,
         "op9_spotsigs": spotsigs.query,
         "op10_url_filter": url_filter.query,
+        "op11_line_quality": line_quality.query,
+        "op12_importance": importance.query,
+        "op13_yinyang": yinyang.query,
     }
 
 
@@ -31,4 +36,7 @@ def oracle_sql() -> dict:
     return {
         "op1_decontaminate": decontaminate.SQL,
         "op10_url_filter": url_filter.SQL,
+        "op11_line_quality": line_quality.SQL,
+        "op12_importance": importance.SQL,
+        "op13_yinyang": yinyang.SQL,
     }
