@@ -37,3 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written below the shared folder and read back: what several branches of a plan read is
+    made once, and a lost executor costs no more than what it was reading."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
