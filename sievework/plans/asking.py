@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import errors, intent, planning, queries, versions
 from sievework.plans import cases
+from sievework.plans.real import REAL
 
 #: ecosystem, a, b, order of the two.
 _VERSIONS = [
@@ -112,22 +113,22 @@ _LIMITS = [
 
 
 def version_orders(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("ecosystem a b", _VERSIONS))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("ecosystem a b", _VERSIONS), real=REAL["version_orders"][0])
     return c.select("p_partkey", versions.compare_in(F.col("ecosystem"), F.col("a"), F.col("b")).alias("order"))
 
 
 def range_cases(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("v s", _RANGES))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("v s", _RANGES), real=REAL["range_cases"][0])
     return c.select("p_partkey", versions.in_range(F.col("v"), F.col("s")).alias("inside"), versions.in_range(F.col("v"), F.col("s"), versions.compare_maven).alias("inside_maven"))
 
 
 def intent_reasons(spark, sf_dir):
-    i = cases.given(spark, sf_dir, "events", "event_id", {"q": [r[0] for r in _INTENTS]}).select("event_id", intent.derive(F.col("q")).alias("i"))
+    i = cases.given(spark, sf_dir, "events", "event_id", {"q": [r[0] for r in _INTENTS]}, real=REAL["intent_reasons"][0]).select("event_id", intent.derive(F.col("q")).alias("i"))
     return i.select("event_id", "i.intent", "i.confidence", F.array_join("i.reasons", ",").alias("reasons"))
 
 
 def error_contexts(spark, sf_dir):
-    t = cases.given(spark, sf_dir, "part", "p_partkey", {"t": [r[0] for r in _ERRORS]}).withColumn("codes", errors.codes(F.col("t"))).withColumn("tools", errors.tools(F.col("t"), F.col("codes")))
+    t = cases.given(spark, sf_dir, "part", "p_partkey", {"t": [r[0] for r in _ERRORS]}, real=REAL["error_contexts"][0]).withColumn("codes", errors.codes(F.col("t"))).withColumn("tools", errors.tools(F.col("t"), F.col("codes")))
     listed = lambda c: F.array_join(c, ",")
     return t.select(
         "p_partkey",
@@ -145,16 +146,16 @@ def _told(xs):
 
 
 def error_subqueries(spark, sf_dir):
-    return cases.given(spark, sf_dir, "part", "p_partkey", {"t": [r[0] for r in _SUBQUERIES]}).select("p_partkey", _told(errors.subqueries(F.col("t"))).alias("subqueries"))
+    return cases.given(spark, sf_dir, "part", "p_partkey", {"t": [r[0] for r in _SUBQUERIES]}, real=REAL["error_subqueries"][0]).select("p_partkey", _told(errors.subqueries(F.col("t"))).alias("subqueries"))
 
 
 def generic_queries(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("q intent", _GENERIC)).withColumn("h", queries.repo_hints(F.col("q")))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("q intent", _GENERIC), real=REAL["generic_queries"][0]).withColumn("h", queries.repo_hints(F.col("q")))
     return c.select("p_partkey", planning.generic_query(F.col("q"), F.col("intent"), F.col("h")).alias("query"))
 
 
 def repo_subqueries(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("q ecosystem package", _REPO), {"ecosystem": "string", "package": "string"}).withColumn("h", queries.repo_hints(F.col("q")))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("q ecosystem package", _REPO), {"ecosystem": "string", "package": "string"}, real=REAL["repo_subqueries"][0]).withColumn("h", queries.repo_hints(F.col("q")))
     return c.select("p_partkey", _told(planning.repo_subqueries(F.col("h"), F.col("ecosystem"), F.col("package"))).alias("subqueries"))
 
 
@@ -175,7 +176,7 @@ def research_dimensions(spark, sf_dir):
 
 
 def result_limits(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("asked usual most filtered", _LIMITS))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("asked usual most filtered", _LIMITS), real=REAL["result_limits"][0])
     limit = planning.result_limit(F.col("asked"), F.col("usual"), F.col("most"))
     return c.withColumn("l", limit).select("p_partkey", F.col("l.n").cast("long").alias("n"), "l.warning", planning.pool_size(F.col("l.n"), F.lit(30), F.col("filtered")).cast("long").alias("pool"))
 
@@ -193,16 +194,16 @@ QUERIES = {
     "result_limits": result_limits,
 }
 ORACLES = {
-    "version_orders": cases.expected("part", "p_partkey", {"order": [r[3] for r in _VERSIONS]}).replace("AS order", 'AS "order"'),
-    "range_cases": cases.expected("part", "p_partkey", cases.columns("inside inside_maven", [r[2:] for r in _RANGES])),
-    "intent_reasons": cases.expected("events", "event_id", cases.columns("intent confidence reasons", [r[1:] for r in _INTENTS])),
-    "error_contexts": cases.expected("part", "p_partkey", cases.columns("codes tools language packages frames primary_line", [r[1:] for r in _ERRORS])),
-    "error_subqueries": cases.expected("part", "p_partkey", {"subqueries": [r[1] for r in _SUBQUERIES]}),
-    "generic_queries": cases.expected("part", "p_partkey", {"query": [r[2] for r in _GENERIC]}),
-    "repo_subqueries": cases.expected("part", "p_partkey", {"subqueries": [r[3] for r in _REPO]}),
+    "version_orders": cases.expected("part", "p_partkey", {"order": [r[3] for r in _VERSIONS]}, real=REAL["version_orders"][1]).replace("AS order", 'AS "order"'),
+    "range_cases": cases.expected("part", "p_partkey", cases.columns("inside inside_maven", [r[2:] for r in _RANGES]), real=REAL["range_cases"][1]),
+    "intent_reasons": cases.expected("events", "event_id", cases.columns("intent confidence reasons", [r[1:] for r in _INTENTS]), real=REAL["intent_reasons"][1]),
+    "error_contexts": cases.expected("part", "p_partkey", cases.columns("codes tools language packages frames primary_line", [r[1:] for r in _ERRORS]), real=REAL["error_contexts"][1]),
+    "error_subqueries": cases.expected("part", "p_partkey", {"subqueries": [r[1] for r in _SUBQUERIES]}, real=REAL["error_subqueries"][1]),
+    "generic_queries": cases.expected("part", "p_partkey", {"query": [r[2] for r in _GENERIC]}, real=REAL["generic_queries"][1]),
+    "repo_subqueries": cases.expected("part", "p_partkey", {"subqueries": [r[3] for r in _REPO]}, real=REAL["repo_subqueries"][1]),
     "research_plans": f"""WITH t AS ({cases.expected("supplier", "s_suppkey", cases.columns("types intents", [r[5:] for r in _RESEARCH]))})
 SELECT s_suppkey, 'rq_' || (i - 1) AS id, string_split(types, ',')[i] AS source_type, string_split(intents, ',')[i] AS intent, 'topic ' || s_suppkey AS topic
 FROM t, range(1, 9) r(i) WHERE i <= len(string_split(types, ','))""",
     "research_dimensions": cases.expected("part", "p_partkey", cases.columns("names n_queries first last", [r[3:] for r in _FLOWS])).replace("AS first", 'AS "first"').replace("AS last", 'AS "last"'),
-    "result_limits": cases.expected("part", "p_partkey", cases.columns("n warning pool", [r[4:] for r in _LIMITS])),
+    "result_limits": cases.expected("part", "p_partkey", cases.columns("n warning pool", [r[4:] for r in _LIMITS]), real=REAL["result_limits"][1]),
 }

@@ -2,7 +2,8 @@
 
 Classifiers are asked about values that the given tables hardly hold. A row of a table gets the
 values of one case, by its key modulo the number of cases; the SQL a query is checked against
-gives what was worked out by hand for that case."""
+gives what was worked out by hand for that case. Where real is given every other run of rows
+has what its own columns hold instead, and the SQL works the answer out from those."""
 
 from __future__ import annotations
 
@@ -20,24 +21,25 @@ def literal(v) -> str:
     return str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
 
 
-def dealt(key: str, values: list, kind: str = "") -> str:
-    """SQL of both engines: the value of the case of a key."""
+def dealt(key: str, values: list, kind: str = "", real: str | None = None) -> str:
+    """SQL of both engines: the value of the case of a key, or, for half of the keys, of real."""
     cases = " ".join(f"WHEN {i} THEN {literal(v)}" for i, v in enumerate(values))
-    out = f"CASE {key} % {len(values)} {cases} END"
+    out = f"CASE {key} % {len(values)} {cases} END" if real is None else f"CASE {key} % {2 * len(values)} {cases} ELSE {real} END"
     return f"CAST({out} AS {kind})" if kind else out
 
 
-def given(spark: SparkSession, sf_dir: str, name: str, key: str, columns: dict[str, list], kinds: dict[str, str] | None = None) -> DataFrame:
-    """The key of each row of a table, and columns with the values of its case."""
-    kinds = kinds or {}
+def given(spark: SparkSession, sf_dir: str, name: str, key: str, columns: dict[str, list], kinds: dict[str, str] | None = None, real: dict[str, str] | None = None) -> DataFrame:
+    """The key of each row of a table, and columns with the values of its case (real: SQL of both
+    engines over the row's own columns, by column; those without one are null there)."""
+    kinds, own = kinds or {}, (lambda c: None) if real is None else (lambda c: real.get(c, "NULL"))
     escaped = {c: [v.replace("\\", "\\\\") if isinstance(v, str) else v for v in vs] for c, vs in columns.items()}
-    return table(spark, sf_dir, name).selectExpr(key, *[f"{dealt(key, v, kinds.get(c, ''))} AS {c}" for c, v in escaped.items()])
+    return table(spark, sf_dir, name).selectExpr(key, *[f"{dealt(key, v, kinds.get(c, ''), own(c))} AS {c}" for c, v in escaped.items()])
 
 
-def expected(name: str, key: str, columns: dict[str, list], kinds: dict[str, str] | None = None) -> str:
+def expected(name: str, key: str, columns: dict[str, list], kinds: dict[str, str] | None = None, real: dict[str, str] | None = None) -> str:
     """DuckDB SQL of the answers."""
-    kinds = kinds or {}
-    return f"SELECT {key}, " + ", ".join(f"{dealt(key, v, kinds.get(c, ''))} AS {c}" for c, v in columns.items()) + f" FROM {name}"
+    kinds, own = kinds or {}, (lambda c: None) if real is None else (lambda c: real.get(c, "NULL"))
+    return f"SELECT {key}, " + ", ".join(f"{dealt(key, v, kinds.get(c, ''), own(c))} AS {c}" for c, v in columns.items()) + f" FROM {name}"
 
 
 def columns(names: str, rows: list[tuple]) -> dict[str, list]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import landmarks, local
 from sievework.operators import dependencies, filing
 from sievework.plans import cases
+from sievework.plans.real import REAL
 from sievework.session import table
 
 _MARKS = [
@@ -29,7 +30,7 @@ _VERDICTS = cases.dealt("l_partkey", ["affected", "affected", "unknown", "insuff
 
 
 def important_paths(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", {"p": [r[0] for r in _MARKS], "d": [r[0] for r in _DIRS]})
+    c = cases.given(spark, sf_dir, "part", "p_partkey", {"p": [r[0] for r in _MARKS], "d": [r[0] for r in _DIRS]}, real=REAL["important_paths"][0])
     return c.withColumn("m", landmarks.important_file(F.col("p"))).select("p_partkey", "m.kind", "m.reason", landmarks.important_folder(F.col("d"))["kind"].alias("folder"))
 
 
@@ -111,7 +112,7 @@ QUERIES = {
 _ID = "l_orderkey * 10000000000 + l_partkey * 100000 + l_linenumber * 10000 + l_suppkey"
 _POS = "l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey"
 ORACLES = {
-    "important_paths": cases.expected("part", "p_partkey", cases.columns("kind reason", [r[1:] for r in _MARKS])).replace(" FROM part", f", {cases.dealt('p_partkey', [r[1] for r in _DIRS])} AS folder FROM part"),
+    "important_paths": cases.expected("part", "p_partkey", cases.columns("kind reason", [r[1:] for r in _MARKS]), real=REAL["important_paths"][1]).replace(" FROM part", f", {cases.dealt('p_partkey', [r[1] for r in _DIRS], real=REAL['important_paths'][1]['folder'])} AS folder FROM part"),
     "request_faults": cases.expected("events", "event_id", {"faults": [r[9] for r in _ASKED]}),
     "trust_summary": """SELECT user_id AS query_id, count(*) FILTER (event_id % 4 > 0) AS external, count(*) FILTER (event_id % 4 = 0) AS local, sum(event_id % 7)::BIGINT AS injections, sum(event_id % 5)::BIGINT AS removed,
   bool_or(event_id % 9 = 0) AS sanitized, bool_or(event_id % 11 = 0) AS truncated, bool_or(event_id % 2 = 0) AS framed FROM events GROUP BY user_id""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import sources
 from sievework.plans import cases
+from sievework.plans.real import REAL
 
 _SHA = "0123456789abcdef0123456789abcdef01234567"
 #: kind, url, title, snippet, is_pull_request, provider; then research class, signals, tier, group, security group.
@@ -101,12 +102,12 @@ def source_classes(spark, sf_dir):
 
 
 def security_tiers(spark, sf_dir):
-    return cases.given(spark, sf_dir, "pages", "page_id", {"url": [u for u, _ in _TIERS]}).select("page_id", sources.security_tier(F.col("url")).alias("tier"))
+    return cases.given(spark, sf_dir, "pages", "page_id", {"url": [u for u, _ in _TIERS]}, real=REAL["security_tiers"][0]).select("page_id", sources.security_tier(F.col("url")).alias("tier"))
 
 
 def best_tiers(spark, sf_dir):
     """The best tier of the sources of each of many requests, and what is said of it."""
-    tiers = cases.given(spark, sf_dir, "pages", "page_id", {"url": [u for u, _ in _TIERS]}).withColumn("query_id", F.floor(F.col("page_id") * 7 / 3) % 97)
+    tiers = cases.given(spark, sf_dir, "pages", "page_id", {"url": [u for u, _ in _TIERS]}, real=REAL["security_tiers"][0]).withColumn("query_id", F.floor(F.col("page_id") * 7 / 3) % 97)
     best = tiers.groupBy("query_id").agg(sources.best_tier(F.collect_set(sources.security_tier(F.col("url")))).alias("best"))
     return best.select("query_id", "best.tier", F.array_join("best.reasons", "; ").alias("reasons"))
 
@@ -122,7 +123,7 @@ def source_notes(spark, sf_dir):
 
 
 def evidence_roles(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "events", "event_id", _ROLES_IN, {"kind": "string"})
+    c = cases.given(spark, sf_dir, "events", "event_id", _ROLES_IN, {"kind": "string"}, real=REAL["evidence_roles"][0])
     return c.select("event_id", sources.evidence_role(F.col("explicit"), F.col("file_role"), F.col("kind")).alias("role"), sources.intended_role(F.col("provider"), F.col("label")).alias("intended"))
 
 
@@ -141,8 +142,8 @@ _NOTES_OF = [
 _CLAIMED = {"benchmarks": "performance", "security_considerations": "security", "issue_threads": "maintenance", "release_notes": "maintenance", "community_discussion": "ecosystem", "recent_news": "ecosystem", "unknown": "unknown"}
 ORACLES = {
     "source_classes": cases.expected("pages", "page_id", _SOURCES_OUT),
-    "security_tiers": cases.expected("pages", "page_id", {"tier": [t for _, t in _TIERS]}),
-    "best_tiers": f"""WITH t AS ({cases.expected("pages", "page_id", {"tier": [t for _, t in _TIERS]})}),
+    "security_tiers": cases.expected("pages", "page_id", {"tier": [t for _, t in _TIERS]}, real=REAL["security_tiers"][1]),
+    "best_tiers": f"""WITH t AS ({cases.expected("pages", "page_id", {"tier": [t for _, t in _TIERS]}, real=REAL["security_tiers"][1])}),
 b AS (SELECT floor(page_id * 7 / 3)::BIGINT % 97 AS query_id, min(CASE tier WHEN 'primary_advisory' THEN 1 WHEN 'package_registry_advisory' THEN 2 WHEN 'vendor_advisory' THEN 3
   WHEN 'maintainer_discussion' THEN 4 WHEN 'release_notes' THEN 5 WHEN 'security_research' THEN 6 WHEN 'community_discussion' THEN 7 WHEN 'news_or_blog' THEN 8 ELSE 9 END) AS n FROM t GROUP BY 1)
 SELECT query_id, ['primary_advisory', 'package_registry_advisory', 'vendor_advisory', 'maintainer_discussion', 'release_notes', 'security_research', 'community_discussion', 'news_or_blog', 'unknown'][n] AS tier,
@@ -159,5 +160,5 @@ SELECT query_id, ['primary_advisory', 'package_registry_advisory', 'vendor_advis
             "claim": [_CLAIMED.get(g, "architecture") for g in _SOURCES_OUT["research_group"]],
         },
     ),
-    "evidence_roles": cases.expected("events", "event_id", _ROLES_OUT),
+    "evidence_roles": cases.expected("events", "event_id", _ROLES_OUT, real=REAL["evidence_roles"][1]),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import ids, local, outcomes, queries
 from sievework.operators import measures
 from sievework.plans import cases
+from sievework.plans.real import REAL
 from sievework.session import table
 
 #: URL and its canonical form.
@@ -73,7 +74,7 @@ _DOMAINS = [("Example.COM ", True), ("https://a.b", False), ("a..b", False), ("-
 
 
 def canonical_urls(spark, sf_dir):
-    return cases.given(spark, sf_dir, "pages", "page_id", {"u": [u for u, _ in _URLS]}).select("page_id", ids.canonical_url(F.col("u")).alias("url"))
+    return cases.given(spark, sf_dir, "pages", "page_id", {"u": [u for u, _ in _URLS]}, real=REAL["canonical_urls"][0]).select("page_id", ids.canonical_url(F.col("u")).alias("url"))
 
 
 def stable_ids(spark, sf_dir):
@@ -93,7 +94,7 @@ def stable_ids(spark, sf_dir):
 
 
 def dimension_states(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "events", "event_id", cases.columns("outcome truncation", _OUTCOMES))
+    c = cases.given(spark, sf_dir, "events", "event_id", cases.columns("outcome truncation", _OUTCOMES), real=REAL["dimension_states"][0])
     return c.select("event_id", outcomes.dimension_state(F.col("outcome"), F.col("truncation")).alias("state"))
 
 
@@ -104,7 +105,7 @@ def dimension_summary(spark, sf_dir):
 
 
 def error_classes(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "events", "event_id", cases.columns("kind status reason", _ERRORS))
+    c = cases.given(spark, sf_dir, "events", "event_id", cases.columns("kind status reason", _ERRORS), real=REAL["error_classes"][0])
     return c.select("event_id", outcomes.error_class(F.col("kind"), F.col("status"), F.col("reason")).alias("class"))
 
 
@@ -126,25 +127,25 @@ def distinct_warnings(spark, sf_dir):
 
 
 def severities(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", {"s": [r[0] for r in _LEVELS]})
+    c = cases.given(spark, sf_dir, "part", "p_partkey", {"s": [r[0] for r in _LEVELS]}, real=REAL["severities"][0])
     return c.withColumn("level", outcomes.severity(F.col("s"))).select("p_partkey", "level", outcomes.severity_rank(F.col("level")).alias("rank"))
 
 
 def link_kinds(spark, sf_dir):
-    return cases.given(spark, sf_dir, "pages", "page_id", cases.columns("page link", _LINKS)).select("page_id", local.link_kind(F.col("page"), F.col("link")).alias("kind"))
+    return cases.given(spark, sf_dir, "pages", "page_id", cases.columns("page link", _LINKS), real=REAL["link_kinds"][0]).select("page_id", local.link_kind(F.col("page"), F.col("link")).alias("kind"))
 
 
 def remotes(spark, sf_dir):
-    return cases.given(spark, sf_dir, "part", "p_partkey", {"u": [r[0] for r in _REMOTES]}).select("p_partkey", local.remote(F.col("u")).alias("r")).select("p_partkey", "r.kind", "r.host", "r.owner", "r.repo")
+    return cases.given(spark, sf_dir, "part", "p_partkey", {"u": [r[0] for r in _REMOTES]}, real=REAL["remotes"][0]).select("p_partkey", local.remote(F.col("u")).alias("r")).select("p_partkey", "r.kind", "r.host", "r.owner", "r.repo")
 
 
 def challenges(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "pages", "page_id", cases.columns("t b", _PAGES))
+    c = cases.given(spark, sf_dir, "pages", "page_id", cases.columns("t b", _PAGES), real=REAL["challenges"][0])
     return c.select("page_id", local.challenge(F.col("t"), F.col("b")).alias("kind"))
 
 
 def timestamps(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", {"t": [t for t, _ in _TIMES]})
+    c = cases.given(spark, sf_dir, "part", "p_partkey", {"t": [t for t, _ in _TIMES]}, real=REAL["timestamps"][0])
     return c.select("p_partkey", F.date_format(local.timestamp(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
@@ -155,7 +156,7 @@ def file_scores(spark, sf_dir):
 
 
 def domain_checks(spark, sf_dir):
-    return cases.given(spark, sf_dir, "part", "p_partkey", {"d": [d for d, _ in _DOMAINS]}).select("p_partkey", queries.domain(F.col("d")).isNotNull().alias("valid"))
+    return cases.given(spark, sf_dir, "part", "p_partkey", {"d": [d for d, _ in _DOMAINS]}, real=REAL["domain_checks"][0]).select("p_partkey", queries.domain(F.col("d")).isNotNull().alias("valid"))
 
 
 QUERIES = {
@@ -181,7 +182,7 @@ _f = lambda x: _F.format(x=x)
 _TITLE = "nullif('Page ' || page_id % 7, 'Page 3')"
 _N_STATES = "CASE state WHEN 'failed' THEN 1 WHEN 'interrupted' THEN 1 ELSE 0 END"
 ORACLES = {
-    "canonical_urls": cases.expected("pages", "page_id", {"url": [c for _, c in _URLS]}),
+    "canonical_urls": cases.expected("pages", "page_id", {"url": [c for _, c in _URLS]}, real=REAL["canonical_urls"][1]),
     "stable_ids": f"""WITH p AS (SELECT page_id, url, {_TITLE} AS title, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS site, regexp_replace(url, '#.*$', '') AS bare FROM pages),
 c AS (SELECT *, replace(site, '://www.', '://') || CASE WHEN regexp_replace(string_split(substr(bare, length(site) + 1), '?')[1], '/+$', '') = '' THEN '/' ELSE regexp_replace(string_split(substr(bare, length(site) + 1), '?')[1], '/+$', '') END || regexp_extract(bare, '\\?.*$', 0) AS canon FROM p),
 d AS (SELECT *, {_head("source")} || {_f("'brave'")} || {_f("canon")} || {_f("title")} || {_f("'unknown'")} AS h1, {_head("doc")} || {_f("canon")} || {_f("title")} || {_f("'html'")} AS h2,
@@ -190,22 +191,22 @@ d AS (SELECT *, {_head("source")} || {_f("'brave'")} || {_f("canon")} || {_f("ti
   {_head("request_plan")} || {_f("'web_fetch'")} || {_f("url")} || {_N8.format(n="page_id")} AS h7 FROM c),
 e AS (SELECT *, {_head("chunk")} || {_f("'doc_' || " + _HASH.format(h="h2"))} || {_N8.format(n="page_id")} || {_f("'A/B'")} AS h3 FROM d)
 SELECT page_id, 'src_' || {_HASH.format(h="h1")} AS source, 'chunk_' || {_HASH.format(h="h3")} AS chunk, 'span_' || {_HASH.format(h="h4")} AS span, 'loc_' || {_HASH.format(h="h5")} AS place, 'fp_' || {_HASH.format(h="h6")} AS query, {_HASH.format(h="h7")} AS plan FROM e""",
-    "dimension_states": cases.expected("events", "event_id", {"state": [r[2] for r in _OUTCOMES]}),
+    "dimension_states": cases.expected("events", "event_id", {"state": [r[2] for r in _OUTCOMES]}, real=REAL["dimension_states"][1]),
     "dimension_summary": f"""WITH s AS (SELECT event_id % 101 AS query_id, event_id * 7 % 5 AS role, {cases.dealt("event_id", [r[2] for r in _OUTCOMES])} AS state, {cases.dealt("event_id", [r[1] for r in _OUTCOMES])} AS cut FROM events)
 SELECT query_id, count(DISTINCT role) AS roles_attempted, count(DISTINCT role) FILTER (state IN ('satisfied', 'completed_no_match')) AS roles_complete,
   count(DISTINCT role) FILTER (state IN ('failed', 'skipped_by_policy', 'capability_unavailable', 'interrupted', 'partial')) AS roles_indeterminate, count(*) AS attempted,
   count(*) FILTER (state IN ('satisfied', 'completed_no_match', 'partial', 'not_applicable')) AS completed, count(*) FILTER (state IN ('failed', 'interrupted')) AS failed, count(*) FILTER (state = 'not_applicable') AS not_applicable,
   bool_or(state IN ('failed', 'interrupted')) AS has_failures, bool_or(state = 'partial' OR coalesce(cut IN ('confirmed_by_engine', 'confirmed_by_provider'), false)) AS has_truncation FROM s GROUP BY query_id""",
-    "error_classes": cases.expected("events", "event_id", {"class": [r[3] for r in _ERRORS]}),
+    "error_classes": cases.expected("events", "event_id", {"class": [r[3] for r in _ERRORS]}, real=REAL["error_classes"][1]),
     "skip_codes": cases.expected("events", "event_id", {"code": [r[5] for r in _SKIPS]}),
     "warning_codes": cases.expected("events", "event_id", cases.columns("code severity text", [r[1:] for r in _WARNINGS])),
     "distinct_warnings": f"""SELECT query_id, pos, code FROM (SELECT event_id % 53 AS query_id, event_id AS pos, {cases.dealt("event_id", [r[1] for r in _WARNINGS])} AS code,
   least(event_id % 2, event_id % 3) AS a, greatest(event_id % 2, event_id % 3) AS b FROM events) QUALIFY row_number() OVER (PARTITION BY query_id, code, a, b ORDER BY pos) = 1""",
-    "severities": cases.expected("part", "p_partkey", cases.columns("level rank", [r[1:] for r in _LEVELS])).replace("AS rank", 'AS "rank"'),
-    "link_kinds": cases.expected("pages", "page_id", {"kind": [r[2] for r in _LINKS]}),
-    "remotes": cases.expected("part", "p_partkey", cases.columns("kind host owner repo", [r[1:] for r in _REMOTES])),
-    "challenges": cases.expected("pages", "page_id", {"kind": [r[2] for r in _PAGES]}),
-    "timestamps": cases.expected("part", "p_partkey", {"at": [r[1] for r in _TIMES]}).replace("AS at", 'AS "at"'),
+    "severities": cases.expected("part", "p_partkey", cases.columns("level rank", [r[1:] for r in _LEVELS]), real=REAL["severities"][1]).replace("AS rank", 'AS "rank"'),
+    "link_kinds": cases.expected("pages", "page_id", {"kind": [r[2] for r in _LINKS]}, real=REAL["link_kinds"][1]),
+    "remotes": cases.expected("part", "p_partkey", cases.columns("kind host owner repo", [r[1:] for r in _REMOTES]), real=REAL["remotes"][1]),
+    "challenges": cases.expected("pages", "page_id", {"kind": [r[2] for r in _PAGES]}, real=REAL["challenges"][1]),
+    "timestamps": cases.expected("part", "p_partkey", {"at": [r[1] for r in _TIMES]}, real=REAL["timestamps"][1]).replace("AS at", 'AS "at"'),
     "file_scores": cases.expected("part", "p_partkey", {"indexed": [r[2] for r in _FILES]}).replace(" FROM part", f", CAST({cases.dealt('p_partkey', [r[3] for r in _SCORED])} AS DOUBLE) AS score FROM part"),
-    "domain_checks": cases.expected("part", "p_partkey", {"valid": [v for _, v in _DOMAINS]}),
+    "domain_checks": cases.expected("part", "p_partkey", {"valid": [v for _, v in _DOMAINS]}, real=REAL["domain_checks"][1]),
 }

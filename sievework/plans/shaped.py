@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import local, shaping
 from sievework.operators import filing
 from sievework.plans import cases
+from sievework.plans.real import REAL
 from sievework.session import table
 
 #: tool, workflow, exact error, profile, domain, model, decided by.
@@ -35,19 +36,19 @@ _CUTS = [
 
 
 def workflow_models(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "events", "event_id", cases.columns("tool workflow exact profile domain", _MODELS), {"exact": "boolean"})
+    c = cases.given(spark, sf_dir, "events", "event_id", cases.columns("tool workflow exact profile domain", _MODELS), {"exact": "boolean"}, real=REAL["workflow_models"][0])
     return c.select("event_id", shaping.workflow_model(*[F.col(x) for x in "tool workflow exact profile domain".split()]).alias("m")).select("event_id", "m.model", "m.by")
 
 
 def code_evidence(spark, sf_dir):
     names = "host owner repo ref path url language symbol".split()
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns(" ".join(names), _CODE))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns(" ".join(names), _CODE), real=REAL["code_evidence"][0])
     e = c.select("p_partkey", shaping.code_evidence(*[F.col(x) for x in names]).alias("e"))
     return e.select("p_partkey", "e.raw_url", "e.browser_url", "e.permalink", "e.language", "e.role", F.array_join("e.reasons", ",").alias("reasons"))
 
 
 def cut_texts(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("t n", _CUTS) | cases.columns("w", [r[3:] for r in _CUTS]))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("t n", _CUTS) | cases.columns("w", [r[3:] for r in _CUTS]), real=REAL["cut_texts"][0])
     return c.select("p_partkey", shaping.clipped(F.col("t"), F.col("n")).alias("text"), shaping.clipped_warning(F.col("w"), F.col("n")).alias("warning"))
 
 
@@ -73,12 +74,12 @@ _CHECKED = [
 
 
 def source_imports(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("lang t", _SOURCES))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("lang t", _SOURCES), real=REAL["source_imports"][0])
     return c.select("p_partkey", F.array_join(shaping.imports(F.col("t"), F.col("lang")), "|").alias("imports"))
 
 
 def address_faults(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("u p e n ns", [(r[0], r[2], *r[4:7]) for r in _CHECKED]))
+    c = cases.given(spark, sf_dir, "part", "p_partkey", cases.columns("u p e n ns", [(r[0], r[2], *r[4:7]) for r in _CHECKED]), real=REAL["address_faults"][0])
     return c.select("p_partkey", shaping.bad_url(F.col("u")).alias("url"), shaping.bad_path(F.col("p")).alias("path"), shaping.bad_package(F.col("e"), F.col("n"), F.col("ns")).alias("package"))
 
 
@@ -92,15 +93,15 @@ def rendered(spark, sf_dir):
 _BLOCKS = ["heading", "paragraph", "list_item", "code", "table", "quote", "definition", "rule"]
 QUERIES = {"source_imports": source_imports, "address_faults": address_faults, "rendered_markdown": rendered, "workflow_models": workflow_models, "code_evidence": code_evidence, "cut_texts": cut_texts, "candidate_files": candidate_files}
 ORACLES = {
-    "source_imports": cases.expected("part", "p_partkey", {"imports": [r[2] for r in _SOURCES]}),
-    "address_faults": cases.expected("part", "p_partkey", {"url": [r[1] for r in _CHECKED], "path": [r[3] for r in _CHECKED], "package": [r[7] for r in _CHECKED]}),
+    "source_imports": cases.expected("part", "p_partkey", {"imports": [r[2] for r in _SOURCES]}, real=REAL["source_imports"][1]),
+    "address_faults": cases.expected("part", "p_partkey", {"url": [r[1] for r in _CHECKED], "path": [r[3] for r in _CHECKED], "package": [r[7] for r in _CHECKED]}, real=REAL["address_faults"][1]),
     "rendered_markdown": f"""WITH t AS (SELECT conv_id, turn, {cases.dealt('(conv_id + turn)', _BLOCKS)} AS kind, CASE WHEN turn % 5 = 4 THEN '' ELSE substr(text, 1, 20) || chr(10) || turn END AS x FROM conversations),
 l AS (SELECT conv_id, turn, CASE kind WHEN 'heading' THEN repeat('#', (1 + turn % 3)::INT) || ' ' || x || chr(10) || chr(10) WHEN 'list_item' THEN '- ' || x || chr(10) WHEN 'code' THEN '```' || CASE turn % 2 WHEN 0 THEN 'py' ELSE '' END || chr(10) || x || chr(10) || '```' || chr(10) || chr(10)
   WHEN 'quote' THEN CASE WHEN x = '' THEN chr(10) ELSE array_to_string(list_transform(string_split(x, chr(10)), lambda y: '> ' || y), chr(10)) || chr(10) || chr(10) END WHEN 'definition' THEN '**' || x || '**' || chr(10) || chr(10) WHEN 'rule' THEN '---' || chr(10) || chr(10) ELSE x || chr(10) || chr(10) END AS y FROM t)
 SELECT conv_id, regexp_replace(string_agg(y, '' ORDER BY turn), '\\n+$', '') AS markdown FROM l GROUP BY conv_id""",
-    "workflow_models": cases.expected("events", "event_id", cases.columns("model by", [r[5:] for r in _MODELS])).replace("AS by", 'AS "by"'),
-    "code_evidence": cases.expected("part", "p_partkey", cases.columns("raw_url browser_url permalink language role reasons", [r[8:] for r in _CODE])),
-    "cut_texts": cases.expected("part", "p_partkey", {"text": [r[2] for r in _CUTS], "warning": [r[4][: r[1]] if r[1] and r[3] != "nocolon" else r[4] for r in _CUTS]}),
+    "workflow_models": cases.expected("events", "event_id", cases.columns("model by", [r[5:] for r in _MODELS]), real=REAL["workflow_models"][1]).replace("AS by", 'AS "by"'),
+    "code_evidence": cases.expected("part", "p_partkey", cases.columns("raw_url browser_url permalink language role reasons", [r[8:] for r in _CODE]), real=REAL["code_evidence"][1]),
+    "cut_texts": cases.expected("part", "p_partkey", {"text": [r[2] for r in _CUTS], "warning": [r[4][: r[1]] if r[1] and r[3] != "nocolon" else r[4] for r in _CUTS]}, real=REAL["cut_texts"][1]),
     "candidate_files": f"""WITH f AS (SELECT l_suppkey AS repo, concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '/', {cases.dealt('l_partkey', _PATHS)}) AS path, l_orderkey % 3 = 0 AS impl FROM lineitem WHERE l_linenumber % 4 > 0),
 s AS (SELECT repo, path, CASE WHEN path LIKE '%/main.rs' AND false THEN 100 ELSE 0 END + CASE WHEN lower(path) LIKE '%parse%' THEN 20 ELSE 0 END + CASE WHEN lower(path) LIKE '%main%' THEN 20 ELSE 0 END AS b, regexp_matches(path, '/main[.]rs$') AS exact, impl FROM f WHERE contains(lower(path), 'src') AND contains(string_split(path, '/')[-1], '.rs')),
 t AS (SELECT repo, path, (b + CASE WHEN exact THEN 100 ELSE 0 END + CASE WHEN b + CASE WHEN exact THEN 100 ELSE 0 END > 0 THEN 5 ELSE 0 END + CASE WHEN impl THEN 10 ELSE 5 END)::DOUBLE AS score FROM s)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import outcomes
 from sievework.operators import dispatch, measures, research, state
 from sievework.plans import cases
+from sievework.plans.real import REAL
 from sievework.session import table
 from sievework.sources.derived import ATTEMPTS, attempts
 
@@ -157,7 +158,7 @@ _STATES = [
 
 
 def effective_states(spark, sf_dir):
-    c = cases.given(spark, sf_dir, "events", "event_id", cases.columns("state absence", _STATES))
+    c = cases.given(spark, sf_dir, "events", "event_id", cases.columns("state absence", _STATES), real=REAL["effective_states"][0])
     return c.select("event_id", outcomes.effective_state(F.col("state"), F.col("absence")).alias("state"))
 
 
@@ -184,7 +185,7 @@ ORACLES = {
 SELECT event_id AS attempt_id, CASE o WHEN 'failed' THEN 'provider_failed' WHEN 'timed_out' THEN 'deadline_prevented_completion' WHEN 'rate_limited' THEN 'provider_failed' WHEN 'interrupted_by_deadline' THEN 'deadline_prevented_completion' WHEN 'skipped_by_policy' THEN 'provider_skipped_by_policy' ELSE 'provider_capability_unavailable' END AS kind,
   unnest(rs) AS role, CASE o WHEN 'failed' THEN c || 'provider ' || p || ' failed' WHEN 'timed_out' THEN c || 'provider ' || p || ' timed out' WHEN 'rate_limited' THEN c || 'provider ' || p || ' rate limited' WHEN 'interrupted_by_deadline' THEN 'provider ' || p || ' interrupted by global deadline'
   WHEN 'skipped_by_policy' THEN 'provider ' || p || ' skipped by policy' ELSE 'provider ' || p || ' lacks the requested capability' END AS message FROM a WHERE o NOT IN ('success_with_results', 'not_applicable')""",
-    "effective_states": cases.expected("events", "event_id", {"state": [r[2] for r in _STATES]}),
+    "effective_states": cases.expected("events", "event_id", {"state": [r[2] for r in _STATES]}, real=REAL["effective_states"][1]),
     "deadline_counts": f"""WITH j AS (SELECT l_orderkey AS q, l_linenumber % 3 AS s, {_STATE} AS state FROM lineitem), e AS (SELECT q, s, bool_and(state = 'ended') AS whole, bool_or(state = 'ended') AS part, bool_or(state = 'running') AS runs, bool_or(state = 'pending') AS waits FROM j GROUP BY q, s)
 SELECT q AS query_id, count(*) FILTER (whole) AS completed, count(*) FILTER (NOT whole AND (runs OR NOT waits) AND part) AS "partial", count(*) FILTER (NOT whole AND (runs OR NOT waits)) AS interrupted, count(*) FILTER (NOT whole AND waits AND NOT runs) AS skipped, bool_or(NOT whole) AS exceeded FROM e GROUP BY q""",
     "research_coverage": f"WITH {_CARDS_SQL}, {_COVER} SELECT * FROM v",
