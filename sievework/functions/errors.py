@@ -51,6 +51,14 @@ def codes(text: Column) -> Column:
     ).cast(CODES)
 
 
+def any_code(text: Column) -> Column:
+    """Whether codes() finds any, with the first sign of one."""
+    out = text.rlike(RUST_CODE) | text.rlike(TYPESCRIPT_CODE)
+    for w in [*PYTHON_EXCEPTIONS, *NPM_ERRORS, *CARGO_ERRORS]:
+        out |= F.contains(text, F.lit(w))
+    return out | text.rlike(HTTP_STATUS)
+
+
 def tools(text: Column, found: Column) -> Column:
     """Tools of the codes and those that words speak of, sorted."""
     said = F.array_compact(F.array(*[F.when(holds(F.lower(text), ws), F.lit(t)) for t, ws in TOOL_WORDS.items()]))

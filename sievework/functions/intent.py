@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +51,44 @@ CERTAIN = [
 REPO_HINTS = ["repo:", "repository:", "project:", "repo=", "org:"]
 
 
+# A pattern is tried only where its sign stands; a sign costs one look at the text.
+VERSION_SIGN, FRAME_SIGN, TOKEN_SIGN = r"\d\.\d", r":\d", r"::|_|[a-z0-9][A-Z]|/|\.[A-Za-z]|\("
+
+
+def _first_class(x: Column) -> Column:
+    """struct(intent, reasons) of the first class with a reason, classes after it left alone; null
+    if there is none. x: struct(text, low, words, known)."""
+    text, low, words = x["text"], x["low"], x["words"]
+    shape = lambda sign, *ps: text.rlike(sign) & F.exists(F.array(*[text.rlike(p) for p in ps]), lambda b: b)
+    # One look tells whether any of the words of all classes stands in the text.
+    has = lambda ws: x["known"] & F.arrays_overlap(words, F.array(*[F.lit(w) for w in ws]))
+    says = lambda ps: reduce(or_, [F.contains(low, F.lit(p)) for p in ps])
+    why = lambda **rs: F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rs.items()]))
+
+    def hinted(h):
+        return why(
+            repo_hint=(h["owner"].isNotNull() | h["org"].isNotNull()) & says(REPO_HINTS),
+            **{f"{k}_hint": h[k].isNotNull() for k in ("symbol", "path", "file", "language", "host")},
+            code_token=shape(TOKEN_SIGN, *CODE_TOKENS),
+        )
+
+    frames = F.when(text.rlike(r"\d"), shape(FRAME_SIGN, FRAME) | (errors.n_frames(text) > 0))
+    classes = [
+        ("code", why(compiler_error_code=text.rlike(COMPILER_CODE), error_vocabulary=errors.any_code(text), stack_frame=frames, panic_marker=says(PANICS))),
+        ("security", why(vulnerability_identifier=text.rlike(VULNERABILITY_ID), vulnerability_vocabulary=has(VULNERABILITY))),
+        ("code", why(dependency_version=shape(VERSION_SIGN, *VERSIONS))),
+        ("releases", why(migration_vocabulary=has(MIGRATION))),
+        ("web", why(comparison_vocabulary=(F.contains(low, F.lit("vs")) & text.rlike(COMPARISON)) | says([*COMPARISONS, " versus "]) | low.startswith("versus "))),
+        ("releases", why(release_vocabulary=has(RELEASE) | says(RELEASES))),
+        ("issues", why(issue_vocabulary=has(ISSUE) | says(ISSUES))),
+        ("code", F.get(F.transform(F.array(F.when(text.rlike("[:=/]"), queries.repo_hints(text))), hinted), 0)),
+        ("docs", why(docs_vocabulary=has(DOCS) | says(DOCS_PHRASES))),
+        ("news", why(news_vocabulary=has(NEWS) | says(NEWS_PHRASES))),
+    ]
+    told = lambda name, reasons: F.get(F.filter(F.array(F.struct(F.lit(name).alias("intent"), reasons.alias("reasons"))), lambda c: F.size(c["reasons"]) > 0), 0)
+    return F.coalesce(*[told(name, reasons) for name, reasons in classes])
+
+
 def derive(query: Column) -> Column:
     """struct(intent, confidence, reasons): the first class that anything in the query speaks for, with
     all that speaks for it; high if one of the reasons is certain, else medium; web with low
@@ -55,36 +96,9 @@ def derive(query: Column) -> Column:
     text = F.substring(query, 1, BOUND)
     low = F.lower(text)
     words = F.split(low, "[^a-z0-9']+")
-    shape = lambda *ps: F.exists(F.array(*[text.rlike(p) for p in ps]), lambda b: b)
-    has = lambda ws: F.arrays_overlap(words, F.array(*[F.lit(w) for w in ws]))
-    says = lambda ps: F.exists(F.array(*[F.contains(low, F.lit(p)) for p in ps]), lambda b: b)
-    why = lambda **rs: F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rs.items()]))
-
-    def judged(x):
-        codes, h = x["codes"], x["hints"]
-        classes = [
-            ("code", why(compiler_error_code=shape(COMPILER_CODE), error_vocabulary=F.size(codes) > 0, stack_frame=shape(FRAME) | (errors.n_frames(text) > 0), panic_marker=says(PANICS))),
-            ("security", why(vulnerability_identifier=shape(VULNERABILITY_ID), vulnerability_vocabulary=has(VULNERABILITY))),
-            ("code", why(dependency_version=shape(*VERSIONS))),
-            ("releases", why(migration_vocabulary=has(MIGRATION))),
-            ("web", why(comparison_vocabulary=shape(COMPARISON) | says([*COMPARISONS, " versus "]) | low.startswith("versus "))),
-            ("releases", why(release_vocabulary=has(RELEASE) | says(RELEASES))),
-            ("issues", why(issue_vocabulary=has(ISSUE) | says(ISSUES))),
-            (
-                "code",
-                why(
-                    repo_hint=(h["owner"].isNotNull() | h["org"].isNotNull()) & says(REPO_HINTS),
-                    **{f"{k}_hint": h[k].isNotNull() for k in ("symbol", "path", "file", "language", "host")},
-                    code_token=shape(*CODE_TOKENS),
-                ),
-            ),
-            ("docs", why(docs_vocabulary=has(DOCS) | says(DOCS_PHRASES))),
-            ("news", why(news_vocabulary=has(NEWS) | says(NEWS_PHRASES))),
-        ]
-        told = F.filter(F.array(*[F.struct(F.lit(i).alias("intent"), r.alias("reasons")) for i, r in classes]), lambda c: F.size(c["reasons"]) > 0)
-        return F.get(told, 0)
-
-    first = F.get(F.transform(F.array(F.struct(errors.codes(text).alias("codes"), F.when(text.rlike("[:=/]"), queries.repo_hints(text)).alias("hints"))), judged), 0)
+    known = F.arrays_overlap(words, F.array(*[F.lit(w) for ws in (VULNERABILITY, MIGRATION, RELEASE, ISSUE, DOCS, NEWS) for w in ws]))
+    bound = F.struct(text.alias("text"), low.alias("low"), words.alias("words"), known.alias("known"))
+    first = F.get(F.transform(F.array(bound), _first_class), 0)
     confidence = lambda c: F.when(F.arrays_overlap(c["reasons"], F.array(*[F.lit(r) for r in CERTAIN])), "high").otherwise("medium")
     is_ = lambda c: F.struct(c["intent"].alias("intent"), confidence(c).alias("confidence"), c["reasons"].alias("reasons"))
     none = F.struct(F.lit("web").alias("intent"), F.lit("low").alias("confidence"), F.array(F.lit("no_signal")).alias("reasons"))
