@@ -12,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import written
+
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
 
 # Elements that are passed over, that hold no others, that stand in a head, that end a paragraph; names of languages.
@@ -385,11 +387,13 @@ def embedded_hits(pages: DataFrame, most: int = 10, page: str = "page_id", html:
     held = pages.select(F.col(page).alias("page"), F.from_json(embedded_object(F.nullif(F.regexp_extract(own, PAYLOAD, 1), F.lit(""))), PAYLOAD_SCHEMA).alias("o"))
     region = held.select("page", F.posexplode("o.render.presenter.regions.mainline").alias("i", "r")).filter("startswith(r.display_type, 'web')")
     rows = region.select("page", "i", F.posexplode("r.results").alias("j", "e")).select("page", "i", "j", F.trim(F.col("e.clickUrl")).alias("url"), "e.title", "e.description").filter("rlike(url, '^(?i)https?://')")
+    # Read three times: with its titles and its descriptions, which are markup themselves.
+    rows = written(rows, "payload-rows")
     keys = F.concat_ws("/", F.col("page").cast("string"), "i", "j")
     both = rows.select("page", "i", "j", "url", F.explode(F.array(F.struct(F.concat(keys, F.lit("/t")).alias("key"), F.col("title").alias("html")), F.struct(F.concat(keys, F.lit("/d")).alias("key"), F.col("description").alias("html")))).alias("p"))
     read = tree(both.select("p.key", "p.html").filter("html IS NOT NULL"), "key", "html").filter("text IS NOT NULL").filter(~F.arrays_overlap("tags", F.array(F.lit("script"), F.lit("style"))))
     text = read.groupBy(F.col("page").alias("key")).agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("t"))
-    text = text.select("key", F.trim(F.regexp_replace(F.array_join(F.transform("t", lambda t: t.text), " "), r"(?U)[\s\p{Cntrl}]+", " ")).alias("text"))
+    text = written(text.select("key", F.trim(F.regexp_replace(F.array_join(F.transform("t", lambda t: t.text), " "), r"(?U)[\s\p{Cntrl}]+", " ")).alias("text")), "payload-texts")
     found = rows.withColumn("key", F.concat(keys, F.lit("/t"))).join(text.filter("text <> ''").withColumnRenamed("text", "shown"), "key").drop("key")
     found = found.withColumn("key", F.concat(keys, F.lit("/d"))).join(text.withColumnRenamed("text", "snippet"), "key", "left")
     cut = F.regexp_replace(F.substring("snippet", 1, SNIPPET_CHARS), r"\s\S*$", "")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import written
+
 # Names of languages by family, and shapes of definitions with their kinds and confidence.
 FAMILIES = {
     "rust": "rust rs", "python": "python py", "javascript": "javascript js typescript ts tsx jsx", "go": "go",
@@ -56,7 +58,9 @@ def family(language: Column) -> Column:
 def lines(files: DataFrame) -> DataFrame:
     """file, family, line (from 0), text, total of each line. A last newline ends a line and opens none."""
     held = F.split(F.regexp_replace("content", "\r?\n\\z", ""), "\r?\n")
-    got = files.filter("content <> ''").select("file", family(F.col("language")).alias("family"), F.size(held).alias("total"), F.posexplode(held).alias("line", "text"))
+    # Split once for each file, before its lines are dealt out.
+    whole = files.filter("content <> ''").select("file", family(F.col("language")).alias("family"), held.alias("held")).withColumn("total", F.size("held"))
+    got = whole.select("file", "family", "total", F.posexplode("held").alias("line", "text"))
     return got.select("file", "family", "line", "text", "total")
 
 
@@ -121,7 +125,7 @@ def _bracket_blocks(asked: DataFrame, files: DataFrame) -> DataFrame:
     """request, start, end of each (request, file, at): the innermost open { up to the end of the
     line, and the first } that brings the depth back to that before its line; a line that ends at that
     depth without one is a block by itself."""
-    b = brackets(files).join(asked.select("file").distinct(), "file", "left_semi")
+    b = written(brackets(files.join(asked.select("file").distinct(), "file", "left_semi")), "brackets")
     # Before the first bracket the depth is 0.
     marks = b.select("file", "idx", "token", "depth", (F.col("line") + F.when(F.col("token") == "\n", 1).otherwise(0)).alias("next"))
     zero = asked.select("file").distinct().selectExpr("file", "0 AS idx", "'\n' AS token", "0 AS depth", "0 AS next")
@@ -130,7 +134,7 @@ def _bracket_blocks(asked: DataFrame, files: DataFrame) -> DataFrame:
     at = asked.join(ends, (F.col("file") == F.col("_f")) & (F.col("_line") == F.col("at") + 1)).select("request", "file", "at", F.col("_idx").alias("idx"), (F.col("_depth") - 1).alias("depth"))
     both = marks.selectExpr("file", "depth", "idx", "next", "CAST(NULL AS string) AS request", "CAST(NULL AS int) AS at", "0 AS asked").unionByName(at.selectExpr("file", "depth", "idx", "CAST(NULL AS int) AS next", "request", "at", "1 AS asked"))
     back = Window.partitionBy("file", "depth").orderBy("idx", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = both.withColumn("start", F.last("next", ignorenulls=True).over(back)).filter("asked = 1").select("request", "file", F.coalesce("start", "at").alias("start"))
+    start = written(both.withColumn("start", F.last("next", ignorenulls=True).over(back)).filter("asked = 1").select("request", "file", F.coalesce("start", "at").alias("start")), "block-starts")
     at = start.join(ends, (F.col("file") == F.col("_f")) & (F.col("_line") == F.col("start"))).select("request", "file", "start", F.col("_idx").alias("idx"), F.col("_depth").alias("depth"))
     stops = marks.filter("token <> '{' AND idx > 0").select("file", "depth", "idx", F.when(F.col("token") == "}", F.col("next")).otherwise(-1).alias("stop"))
     both = stops.selectExpr("file", "depth", "idx", "stop", "CAST(NULL AS string) AS request", "CAST(NULL AS int) AS start", "0 AS asked").unionByName(at.selectExpr("file", "depth", "idx", "CAST(NULL AS int) AS stop", "request", "start", "1 AS asked"))
@@ -147,7 +151,7 @@ def _marked(rows: DataFrame) -> DataFrame:
     t, bare = F.col("text"), F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
     lead = F.regexp_extract("text", "^[ \t]*", 0)
     out = rows.select(
-        "file", "line", "total", "family", F.length(F.regexp_replace(lead, "\t", "    ")).alias("indent"),
+        "file", "line", "total", "family", "text", F.length(F.regexp_replace(lead, "\t", "    ")).alias("indent"),
         (bare != "").alias("full"), (bare.startswith("@") | bare.startswith("#")).alias("deco"),
         bare.rlike("^(def|async|class) ").alias("opens"), bare.rlike("[;{}]$").alias("closed"), bare.rlike("(;$)|^[{}]$").alias("ends"),
         F.when(t.rlike(f"(?U){HEADING}"), F.length(F.regexp_extract(t, f"(?U){HEADING}", 1))).alias("head"), bare.rlike(TABLE).alias("table"),
@@ -163,7 +167,7 @@ def _marked(rows: DataFrame) -> DataFrame:
 def _other_blocks(asked: DataFrame, marked: DataFrame) -> DataFrame:
     """request, start, end of requests on files whose blocks brackets do not tell."""
     at = asked.join(marked.select("file", F.col("line").alias("at"), F.col("indent").alias("base"), F.coalesce("head", F.lit(6)).alias("level"), F.col("closed").alias("done")), ["file", "at"])
-    both = at.join(marked.drop("total", "family"), "file")
+    both = at.join(marked.drop("total", "family", "text"), "file")
     line, before, after = F.col("line"), F.col("line") < F.col("at"), F.col("line") > F.col("at")
     shallow = F.col("full") & (F.col("indent") <= F.col("base"))
     got = both.groupBy("request", "file", "family", "at", "base", "level", "done").agg(
@@ -189,7 +193,7 @@ def _other_blocks(asked: DataFrame, marked: DataFrame) -> DataFrame:
     # Tables and keys end by what follows their start, not the line that was asked for.
     late = first.filter(fam.isin("toml", "yaml")).select("request", "file", "family", "start", "final", "last_full")
     head = late.join(marked.select("file", F.col("line").alias("start"), F.col("indent").alias("base")), ["file", "start"])
-    wide = head.join(marked.drop("total", "family"), "file").filter("line > start")
+    wide = head.join(marked.drop("total", "family", "text"), "file").filter("line > start")
     stop = wide.groupBy("request").agg(
         F.min(F.when(F.col("table"), F.struct("line", "prior"))).alias("table"), F.min(F.when(shallow, F.struct("line", "prior"))).alias("key")
     )
@@ -207,8 +211,10 @@ def spans(files: DataFrame, requests: DataFrame) -> DataFrame:
     text, first, last, expand, most. A range of lines is taken as it is or widened to the block
     about its middle; else the symbol's definition is sought and its block taken; else the first
     line with the text, with lines about it; else, if nothing was asked for, the whole file. cut:
-    the block was longer than most lines. Empty files answer nothing."""
-    rows = lines(files)
+    the block was longer than most lines. Empty files answer nothing. Lines with what they are, and
+    brackets, are written out once, as every kind of request reads them."""
+    marked = written(_marked(lines(files)), "lines")
+    rows = marked.select("file", "family", "line", "text", "total")
     known = rows.groupBy("file").agg(F.first("family").alias("family"), F.first("total").alias("total"))
     asked = requests.join(known, "file")
     ranged = F.col("first").isNotNull() & F.col("last").isNotNull()
@@ -229,9 +235,9 @@ def spans(files: DataFrame, requests: DataFrame) -> DataFrame:
     wide = asked.filter(ranged & F.col("expand")).select("request", "file", "family", middle.alias("at"), F.lit("expanded_range").alias("selection"), F.lit(None).cast("string").alias("symbol_kind"), F.lit("strong").alias("confidence"), "most")
     found = free.filter("d IS NOT NULL").select("request", "file", "family", F.col("d.line").alias("at"), F.lit("symbol_definition").alias("selection"), F.col("d.kind").alias("symbol_kind"), F.col("d.confidence").alias("confidence"), "most")
     blocks = wide.unionByName(found)
-    marked = _marked(rows)
     bare = marked.groupBy("file").agg(F.bool_or("braces").alias("braces"))
     told = blocks.join(bare, "file").withColumn("by", F.when(F.col("family").isin("python", "markdown", "toml", "yaml"), "other").when((F.col("family") == "javascript") & ~F.col("braces"), "other").otherwise("brackets"))
+    told = written(told, "asked-blocks")
     by_bracket = _bracket_blocks(told.filter("by = 'brackets'").select("request", "file", "at"), files)
     by_other = _other_blocks(told.filter("by = 'other'").select("request", "file", "family", "at"), marked)
     held = told.join(by_bracket.unionByName(by_other.select("request", "start", "end")), "request")
