@@ -195,6 +195,9 @@ def blocks(nodes: DataFrame, least_chars: int = 50) -> DataFrame:
     table, terms go before their definitions."""
     held = _roots(nodes)
     own = F.col("tag").isNotNull()
+    # Texts under a block, and elements that are or hold one; all others are known to these by their paths.
+    named = F.array(*[F.lit(t) for t in _HEADS])
+    held = held.filter(F.col("tag").isin(*_HEADS, "li", "dt", "dd", "td", "th", "code") | (F.col("text").isNotNull() & F.arrays_overlap("tags", named)))
     held = held.filter(F.array_contains("path", F.col("root"))).withColumn("_k", F.array_position("path", F.col("root")).cast("int"))
     below = lambda a: F.expr(f"slice({a}, _k + 1, size({a}))")
     held = held.withColumns({"ids": F.when(own, F.concat(below("path"), F.array("node"))).otherwise(below("path")), "tgs": F.when(own, F.concat(below("tags"), F.array("tag"))).otherwise(below("tags"))})
