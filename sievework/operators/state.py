@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 3
@@ -146,15 +146,20 @@ def _glob(rule: str) -> tuple[str, bool]:
     return f"^{'' if rooted else '(?:.*/)?'}{out}{'/.*' if folder else '(?:/.*)?'}$", negated
 
 
-def ignored(files: DataFrame, rules: list[str]) -> DataFrame:
-    """files (path, ...) with ignored: whether the last rule that fits a path, or a folder above it,
-    leaves it out. Rules are those of ignore files: * and ? within a segment, ** across, a slash at
-    the end for folders only, one elsewhere ties the rule to the top, ! takes back in. Blank rules
-    and comments count for nothing. The rules become one expression, so files are scanned once."""
+def is_ignored(path: Column, rules: list[str]) -> Column:
+    """Whether ignore rules leave a path out; see ``ignored``."""
     out = F.lit(False)
     for rule in rules:
         rule = rule.strip()
         if rule and not rule.startswith("#"):
             pattern, negated = _glob(rule)
-            out = F.when(F.col("path").rlike(pattern), not negated).otherwise(out)
-    return files.withColumn("ignored", out)
+            out = F.when(path.rlike(pattern), not negated).otherwise(out)
+    return out
+
+
+def ignored(files: DataFrame, rules: list[str]) -> DataFrame:
+    """files (path, ...) with ignored: whether the last rule that fits a path, or a folder above it,
+    leaves it out. Rules are those of ignore files: * and ? within a segment, ** across, a slash at
+    the end for folders only, one elsewhere ties the rule to the top, ! takes back in. Blank rules
+    and comments count for nothing. The rules become one expression, so files are scanned once."""
+    return files.withColumn("ignored", is_ignored(F.col("path"), rules))

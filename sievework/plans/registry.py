@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("retrieval", "evidence", "classify", "selecting", "stateful", "reading", "judging", "asking", "knowing", "weighing", "filing", "recorded", "shaped", "coding", "marking", "fetched", "bodied", "stored", "feeding")
+_MODULES: tuple[str, ...] = ("retrieval", "evidence", "classify", "selecting", "stateful", "reading", "judging", "asking", "knowing", "weighing", "filing", "recorded", "shaped", "coding", "marking", "fetched", "bodied", "stored", "feeding", "walking")
 
 
 def _each(name: str) -> dict:
