@@ -215,16 +215,21 @@ def found(docs: DataFrame, length: int, crowd: int) -> DataFrame:
     meeting = common.materialise(folded.join(several, "d").select("d", "n", "one.*"), "suffix-meeting")
 
     def with_bytes(some: DataFrame) -> DataFrame:
-        """d, k1, k2, s1 and the bytes of each context."""
+        """d, k1, k2, s1 and the bytes of each context. Copies of a row that a task meets in a row are cut once;
+        what is left of them is passed over where contexts are compared."""
         each = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("d", "s1", "s2")).alias("own"))
 
         def cut(batches):
             import pyarrow as pa
 
+            last = None
             for batch in batches:
                 for a in range(0, batch.num_rows, 32):
                     out = []
                     for r in batch.slice(a, 32).to_pylist():
+                        if (r["k1"], r["k2"]) == last:
+                            continue
+                        last = (r["k1"], r["k2"])
                         data = (r["text"] or "").encode("utf-8")
                         out += [(c["d"], r["k1"], r["k2"], c["s1"], data[c["s1"] : c["s2"] + length]) for c in r["own"]]
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -246,6 +251,8 @@ def found(docs: DataFrame, length: int, crowd: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if held and row == held[-1]:
+                    continue
                 if size > FLUSH and row[0] != held[-1][0]:
                     yield answer(held)
                     held, size = [], 0
@@ -254,7 +261,7 @@ def found(docs: DataFrame, length: int, crowd: int) -> DataFrame:
         if held:
             yield answer(held)
 
-    sorted_rows = with_bytes(meeting.filter(F.col("n") <= crowd)).repartition("d").sortWithinPartitions("d")
+    sorted_rows = with_bytes(meeting.filter(F.col("n") <= crowd)).repartition("d").sortWithinPartitions("d", "k1", "k2", "s1")
     out = copies.unionByName(sorted_rows.mapInArrow(compare, PLACE))
     if several.filter(F.col("n") > crowd).limit(1).count():
 

@@ -47,3 +47,30 @@ def test_periods_ties_and_clashes(spark):
     got = suffix_dedup.dedup(docs)
     assert sorted(c.lower() for c in got.columns) == ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans", "text"]
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got.collect()) == brute(rows, 400)
+
+
+@pytest.mark.parametrize("crowd", [5000, 1])
+def test_many_copies_of_a_row_are_one_text_where_contexts_meet(spark, crowd, tmp_path, monkeypatch):
+    """A row of 10,000 copies and two other texts that share a passage with it: no call sees more texts than with two copies."""
+    rnd = random.Random(10)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(600)]
+    shared, own = " ".join(words[:200]), [" ".join(words[k : k + 100]) for k in (200, 300, 400)]
+    plain, seen = suffix_dedup.marked, str(tmp_path)
+
+    def watched(group, texts, length):
+        import os
+        import uuid
+
+        with open(os.path.join(seen, uuid.uuid4().hex), "w") as f:
+            f.write(str(len(texts)))
+        return plain(group, texts, length)
+
+    monkeypatch.setattr(suffix_dedup, "marked", watched)
+    most = []
+    for n in (2, 10_000):
+        rows = [(1, own[0] + " " + shared)] * n + [(2, shared + " " + own[1]), (3, own[2] + shared)]
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), crowd=crowd).collect())
+        want = brute([*[(1, rows[0][1])] * 2, *rows[-2:]], 400)
+        assert got == Counter({k: n if k[0] == 1 else v for k, v in want.items()})
+        most.append(max([int(f.read_text()) for f in tmp_path.iterdir()], default=0))
+    assert most[0] == most[1]
