@@ -39,7 +39,7 @@ CODES = "array<struct<code:string,tool:string>>"
 
 def codes(text: Column) -> Column:
     """array of (code, tool), distinct: those of compilers, exceptions, package managers and HTTP."""
-    every = lambda p, f, tool: F.transform(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), 1), f)), lambda c: F.struct(c.alias("code"), F.lit(tool).alias("tool")))
+    every = lambda p, f, tool: F.transform(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(texts.ascii_bounds(p)), 1), f)), lambda c: F.struct(c.alias("code"), F.lit(tool).alias("tool")))
     words = lambda ws, tool, before="": F.filter(F.array(*[F.struct(F.when(F.contains(text, F.lit(w)), F.lit(before + w)).alias("code"), F.lit(tool).alias("tool")) for w in ws]), lambda c: c["code"].isNotNull())
     return F.concat(
         every(RUST_CODE, F.upper, "rustc"),
@@ -53,10 +53,10 @@ def codes(text: Column) -> Column:
 
 def any_code(text: Column) -> Column:
     """Whether codes() finds any, with the first sign of one."""
-    out = text.rlike(RUST_CODE) | text.rlike(TYPESCRIPT_CODE)
+    out = text.rlike(texts.ascii_bounds(RUST_CODE)) | text.rlike(texts.ascii_bounds(TYPESCRIPT_CODE))
     for w in [*PYTHON_EXCEPTIONS, *NPM_ERRORS, *CARGO_ERRORS]:
         out |= F.contains(text, F.lit(w))
-    return out | text.rlike(HTTP_STATUS)
+    return out | text.rlike(texts.ascii_bounds(HTTP_STATUS))
 
 
 def tools(text: Column, found: Column) -> Column:
@@ -88,7 +88,7 @@ def primary_line(text: Column) -> Column:
     length; else the first 200 characters; white space folded."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     fits = lambda x: (F.octet_length(x) > 10) & (F.octet_length(x) < 200)
-    told = F.filter(lines, lambda x: x.rlike(PRIMARY_CODE) | (F.contains(F.lower(x), F.lit("error")) & fits(x)))
+    told = F.filter(lines, lambda x: x.rlike(texts.ascii_bounds(PRIMARY_CODE)) | (F.contains(F.lower(x), F.lit("error")) & fits(x)))
     return F.coalesce(texts.one_line(F.get(told, 0)), texts.one_line(F.get(F.filter(lines, fits), 0)), F.substring(texts.one_line(text), 1, 200))
 
 

@@ -29,7 +29,7 @@ HIDDEN = r"[\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u206F\uFEFF]"
 
 def found(text: Column, family: str) -> Column:
     """Distinct identifiers of a family in upper case, in order of first appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(FAMILIES[family]), 1), F.upper))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(texts.ascii_bounds(FAMILIES[family])), 1), F.upper))
 
 
 def all_identifiers(text: Column) -> Column:
@@ -41,7 +41,7 @@ def markers(text: Column) -> dict[str, Column]:
     """How often each marker stands in a text. Hidden characters are taken out for a second look,
     and the larger of both counts is given."""
     shown = F.regexp_replace(text, HIDDEN, "")
-    return {m: F.greatest(F.regexp_count(text, F.lit(p)), F.regexp_count(shown, F.lit(p))) for m, p in MARKERS.items()}
+    return {m: F.greatest(F.regexp_count(text, F.lit(p)), F.regexp_count(shown, F.lit(p))) for m, p in ((m, texts.ascii_bounds(p)) for m, p in MARKERS.items())}
 
 
 def framed(text: Column, field: str, key: Column) -> Column:

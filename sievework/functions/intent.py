@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievework.functions import errors, queries
+from sievework.functions.text import ascii_bounds
 
 BOUND = 512  # characters of a query that are read: queries are short, and the rest tells nothing more
 _FILES = "rs|py|ts|tsx|js|jsx|go|java|kt|rb|php|cs|cpp|cxx|hpp|h|swift|scala|ex|exs|hs"
@@ -59,7 +60,7 @@ def _first_class(x: Column) -> Column:
     """struct(intent, reasons) of the first class with a reason, classes after it left alone; null
     if there is none. x: struct(text, low, words, known)."""
     text, low, words = x["text"], x["low"], x["words"]
-    shape = lambda sign, *ps: text.rlike(sign) & F.exists(F.array(*[text.rlike(p) for p in ps]), lambda b: b)
+    shape = lambda sign, *ps: text.rlike(sign) & F.exists(F.array(*[text.rlike(ascii_bounds(p)) for p in ps]), lambda b: b)
     # One look tells whether any of the words of all classes stands in the text.
     has = lambda ws: x["known"] & F.arrays_overlap(words, F.array(*[F.lit(w) for w in ws]))
     says = lambda ps: reduce(or_, [F.contains(low, F.lit(p)) for p in ps])
@@ -74,8 +75,8 @@ def _first_class(x: Column) -> Column:
 
     frames = F.when(text.rlike(r"\d"), shape(FRAME_SIGN, FRAME) | (errors.n_frames(text) > 0))
     classes = [
-        ("code", why(compiler_error_code=text.rlike(COMPILER_CODE), error_vocabulary=errors.any_code(text), stack_frame=frames, panic_marker=says(PANICS))),
-        ("security", why(vulnerability_identifier=text.rlike(VULNERABILITY_ID), vulnerability_vocabulary=has(VULNERABILITY))),
+        ("code", why(compiler_error_code=text.rlike(ascii_bounds(COMPILER_CODE)), error_vocabulary=errors.any_code(text), stack_frame=frames, panic_marker=says(PANICS))),
+        ("security", why(vulnerability_identifier=text.rlike(ascii_bounds(VULNERABILITY_ID)), vulnerability_vocabulary=has(VULNERABILITY))),
         ("code", why(dependency_version=shape(VERSION_SIGN, *VERSIONS))),
         ("releases", why(migration_vocabulary=has(MIGRATION))),
         ("web", why(comparison_vocabulary=(F.contains(low, F.lit("vs")) & text.rlike(COMPARISON)) | says([*COMPARISONS, " versus "]) | low.startswith("versus "))),

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievework.functions.text import ascii_bounds
+
 # Shapes in error messages.
 SECRET = r"(?i)(?:api[_-]?key|api[_-]?token|access[_-]?key|secret[_-]?key|secret|token|password|passwd|authorization)\s*[=:]\s*(?:bearer\s+|basic\s+|token\s+)?[\"']?([A-Za-z0-9_\-.=+/]{16,})[\"']?"
 UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -47,13 +49,13 @@ def error_parts(text: Column) -> Column:
 
     def every(p, k=1, sign=None):
         """All matches; where a plain sign that each of them holds is missing, the pattern is not tried."""
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(p), k))
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(ascii_bounds(p)), k))
         return found if sign is None else F.when(F.contains(text, F.lit(sign)), found).when(text.isNotNull(), none)
 
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    wrong = F.filter(lines, lambda x: x.rlike(PRIMARY))
+    wrong = F.filter(lines, lambda x: x.rlike(ascii_bounds(PRIMARY)))
     return F.struct(
-        F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CODES), 1), F.upper)).alias("codes"),
+        F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ascii_bounds(CODES)), 1), F.upper)).alias("codes"),
         every(HTTP_STATUS).alias("statuses"),
         every(CARGO_PACKAGE, sign="`").alias("packages"),
         every(SOURCE_FILE, sign=".").alias("files"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ REMOVED = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u200B-\u200F\u202A-\u202E\u2060
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ascii_bounds(pattern: str) -> str:
+    r"""A pattern whose \b stand where a character of \w meets one outside it, accented letters being outside as
+    they are in the SQL. Java's own \b counts them as letters before version 19, but its \w does not. Before a
+    letter, or a class or group (all branches) that begins with one, it is enough to look back."""
+    begun = re.sub(r"\\b(?=(?:\((?:\?:)?)?(?:[A-Za-z0-9_]|(?:\\w|\[(?:[A-Za-z0-9](?:-[A-Za-z0-9])?|_)+\])(?![*?])))", r"(?<!\\w)", pattern)
+    return begun.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def visible(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, TO_SPACE, " "), REMOVED, "")
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from sievework.functions.text import ascii_bounds
+
 LEVELS = 6
 # How lines of code open a symbol, by language; the last group is its name.
 SYMBOLS = {
@@ -103,7 +105,7 @@ def page_parts(html: Column) -> Column:
     fold = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     body = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
     for tag in [*SKIPPED, "head", "title"]:
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+        body = F.regexp_replace(body, ascii_bounds(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"), " ")
     return F.struct(
         fold(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
         F.regexp_extract(h, r"(?is)<meta\s+name=[\"']description[\"']\s+content=[\"'](.*?)[\"']", 1).alias("description"),
