@@ -12,7 +12,6 @@ THRESHOLD = 3
 # Seconds of rest after repeated failures, by class of the last one.
 REST = {"rate_limited": 60, "blocked": 60, "timeout": 15}
 OTHER_REST = 30
-BIN = 64
 
 
 def streaks(calls: DataFrame, slice: str = "hour") -> DataFrame:
@@ -108,12 +107,26 @@ def enclosing(places: DataFrame, symbols: DataFrame) -> DataFrame:
     """places (file, line, place_id) with symbol: the innermost that has the line (the shortest, then
     the one that starts last, then the smallest symbol_id), or null.
 
-    Symbols are laid into bins of lines, so the join is an equality on file and bin and each place
-    meets only the symbols near it. symbols: symbol_id, file, first, last."""
-    laid = symbols.filter("first <= last").withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(F.col("last") / BIN))))
-    met = places.withColumn("bin", F.floor(F.col("line") / BIN)).join(laid, ["file", "bin"]).filter("line between first and last")
-    best = met.groupBy("place_id").agg(F.min_by("symbol_id", F.struct(F.col("last") - F.col("first"), -F.col("first"), "symbol_id")).alias("symbol"))
-    return places.join(best, "place_id", "left").select("place_id", "file", "line", "symbol")
+    A symbol is laid onto the blocks of 1, 2, 4, ... lines that make it up, two of a size at most, and of
+    each block only its innermost symbol is kept. A line lies in one block of each size, so it meets as many
+    rows as there are sizes, however many symbols have it. symbols: symbol_id, file, first, last."""
+    whole = symbols.filter("first <= last").select("symbol_id", "file", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    top = whole.agg((F.length(F.bin(F.max(F.col("last") - F.col("first")) + 1)) - 1).alias("top"))
+
+    def blocks(k):
+        low, high = -F.call_function("shiftright", -F.col("first"), k), F.call_function("shiftright", F.col("last") + 1, k)
+        odd = lambda n: n.bitwiseAND(F.lit(1)) == 1
+        at = lambda c, block: F.when((low < high) & c, F.struct(k.alias("size"), block.alias("block")))
+        return F.array(at(odd(low), low), at(odd(high), high - 1))
+
+    sizes = F.sequence(F.lit(0), F.length(F.bin(F.col("last") - F.col("first") + 1)) - 1)
+    laid = whole.select("*", F.explode(F.array_compact(F.flatten(F.transform(sizes, lambda k: blocks(k))))).alias("b"))
+    rank = F.struct((F.col("last") - F.col("first")).alias("length"), (-F.col("first")).alias("start"), "symbol_id").alias("rank")
+    inner = laid.select("file", "b.size", "b.block", rank).groupBy("file", "size", "block").agg(F.min("rank").alias("rank"))
+    lines = places.select("file", "line").filter("line is not null").distinct().crossJoin(F.broadcast(top))
+    asked = lines.select("file", "line", F.explode(F.sequence(F.lit(0), "top")).alias("size")).withColumn("block", F.call_function("shiftright", F.col("line").cast("long"), F.col("size")))
+    best = asked.join(inner, ["file", "size", "block"]).groupBy("file", "line").agg(F.min("rank")["symbol_id"].alias("symbol"))
+    return places.join(best, ["file", "line"], "left").select("place_id", "file", "line", "symbol")
 
 
 def disagreements(values: DataFrame) -> DataFrame:
