@@ -22,7 +22,7 @@ def routed(requests: DataFrame, providers: DataFrame, most: int = 2) -> DataFram
     The first reason that holds is told; of those that nothing speaks against, ``most`` are added."""
     preferred = F.create_map(*[x for i, ps in PREFERRED.items() for x in (F.lit(i), F.array(*[F.lit(p) for p in ps]))])
     asked = requests.select("query_id", "selected", F.posexplode(F.try_element_at(preferred, F.col("intent"))).alias("place", "provider"))
-    met = asked.join(providers, "provider", "left")
+    met = asked.join(F.broadcast(providers), "provider", "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     reason = (
         F.when(F.array_contains("selected", F.col("provider")), "already_selected")
@@ -40,10 +40,12 @@ def jobs(subqueries: DataFrame, providers: list[str], supported: DataFrame) -> D
     """query_id, place, label, provider, disposition: every subquery for every provider, in the order
     in which they are sent. A subquery asks for roles; a provider supports all, some or none.
 
+    Subqueries are dealt by request before they are multiplied, and what the few providers support goes to
+    every task: a join on provider would have as many groups as there are providers.
     subqueries: query_id, priority, subquery_no, label, roles (array); supported: provider, role."""
     each = F.posexplode(F.array(*[F.lit(p) for p in providers])).alias("provider_no", "provider")
-    sent = subqueries.withColumn("roles", F.array_distinct("roles")).select("*", each)
-    able = supported.groupBy("provider").agg(F.collect_set("role").alias("able"))
+    sent = subqueries.repartition("query_id").withColumn("roles", F.array_distinct("roles")).select("*", each)
+    able = F.broadcast(supported.groupBy("provider").agg(F.collect_set("role").alias("able")))
     met = sent.join(able, "provider", "left").withColumn("can", F.size(F.array_intersect("roles", F.coalesce("able", F.array().cast("array<string>")))))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("priority", "subquery_no", "provider_no"))
     disposition = F.when(F.col("can") == F.size("roles"), "fully_supported").when(F.col("can") > 0, "partially_supported").otherwise("unsupported")

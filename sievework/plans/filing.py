@@ -101,7 +101,7 @@ def local_repos(spark, sf_dir):
     c = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{cases.dealt('p_partkey', _CLONES)} AS url").withColumn("r", local.remote(F.col("url")))
     asked = spark.createDataFrame([("github.com", "acme", "tool"), ("gitlab.com", "acme", "tool")], "host string, owner string, repo string")
     mine = c.select("p_partkey", F.lower("r.host").alias("host"), F.lower("r.owner").alias("owner"), F.lower("r.repo").alias("repo"))
-    return mine.join(asked, ["host", "owner", "repo"]).select("p_partkey", "host")
+    return mine.join(F.broadcast(asked), ["host", "owner", "repo"]).select("p_partkey", "host")
 
 
 QUERIES = {
