@@ -30,10 +30,13 @@ def dealt(key: str, values: list, kind: str = "", real: str | None = None) -> st
 
 def given(spark: SparkSession, sf_dir: str, name: str, key: str, columns: dict[str, list], kinds: dict[str, str] | None = None, real: dict[str, str] | None = None) -> DataFrame:
     """The key of each row of a table, and columns with the values of its case (real: SQL of both
-    engines over the row's own columns, by column; those without one are null there)."""
+    engines over the row's own columns, by column; those without one are null there).
+
+    Rows are dealt by key: what is asked of a row takes long, and a table of millions of rows may be one file
+    of a few megabytes, which one task would read and judge alone."""
     kinds, own = kinds or {}, (lambda c: None) if real is None else (lambda c: real.get(c, "NULL"))
     escaped = {c: [v.replace("\\", "\\\\") if isinstance(v, str) else v for v in vs] for c, vs in columns.items()}
-    return table(spark, sf_dir, name).selectExpr(key, *[f"{dealt(key, v, kinds.get(c, ''), own(c))} AS {c}" for c, v in escaped.items()])
+    return table(spark, sf_dir, name).selectExpr(key, *[f"{dealt(key, v, kinds.get(c, ''), own(c))} AS {c}" for c, v in escaped.items()]).repartition(key)
 
 
 def expected(name: str, key: str, columns: dict[str, list], kinds: dict[str, str] | None = None, real: dict[str, str] | None = None) -> str:
