@@ -26,3 +26,10 @@ def test_addresses_of_articles(spark):
     cases = {"http://arxiv.org/abs/2401.00001v1": "2401.00001", " http://arxiv.org/abs/cs/9901001v2/ ": "cs/9901001", "2401.2": "2401.2", "v1": "v1", "1v": "1v", "1v2v3": "1v2v3", "": None, "http://arxiv.org/abs/": None, None: None, "a b/c": "a%20b/c", "x/": None}
     df = spark.createDataFrame([(k, v and feeds.ARTICLES + v) for k, v in cases.items()], "raw string, want string").withColumn("got", feeds.article_url(F.col("raw")))
     assert df.filter("NOT (got <=> want)").collect() == []
+
+
+def test_a_body_is_parsed_once(spark):
+    from sievework.plans import feeding
+
+    plan = feeding.feed_hits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
