@@ -17,7 +17,7 @@ from sievework.session import written
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
 
 # Elements that are passed over, that hold no others, that stand in a head, that end a paragraph; names of languages.
-SKIPPED = "script style noscript svg nav footer header form aside template".split()
+SKIPPED = frozenset("script style noscript svg nav footer header form aside template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("base link meta noscript script style template title".split())
 ENDS_P = frozenset(
@@ -30,14 +30,19 @@ IMPLIED = {
     "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr td th", "table"), "tbody": ("tbody thead tfoot tr td th caption colgroup", "table"),
     "thead": ("tbody thead tfoot tr td th caption colgroup", "table"), "tfoot": ("tbody thead tfoot tr td th caption colgroup", "table"),
 }
+IMPLIED = {tag: tuple(frozenset(x.split()) for x in both) for tag, both in IMPLIED.items()}
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An end tag ends no element that lies around one of these; td and th for tags that are not named here.
+STOPS = {"li": ("ul", "ol"), "table": ()} | dict.fromkeys("td th tr tbody thead tfoot".split(), ("table",))
 #: Deeper nodes are left out; their end tags still count.
 MOST_DEEP = 256
 KINDS = {"p": "paragraph", "pre": "code", "blockquote": "block_quote", "hr": "horizontal_rule", "ul ol": "list_item", "dl": "definition", "table": "table"}
 NODE = ("node", "path", "tags", "veils", "tag", "attrs", "text")
 
 
-def read_nodes(html: str | None) -> list[tuple]:
-    """The nodes of one page: (node, ancestors, their tags, passed-over ones among them and itself, tag, attributes, text)."""
+def read_nodes(html: str | None, keep=None) -> list[tuple]:
+    """The nodes of one page: (node, ancestors, their tags, passed-over ones among them and itself, tag, attributes, text).
+    keep(tags, tag, attributes): whether a node is handed out; it is numbered anyway."""
     from html.parser import HTMLParser
 
     out, stack, fresh = [], [], [0]  # stack: (node, tag, path, tags, veils); path, tags and veils with the element itself
@@ -47,7 +52,7 @@ def read_nodes(html: str | None) -> list[tuple]:
         fresh[0] += 1
         if tag and (tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true"):
             veils = [*veils, node]
-        if len(path) < MOST_DEEP:
+        if len(path) < MOST_DEEP and (keep is None or keep(tags, tag, attrs)):
             out.append((node, path, tags, veils, tag, attrs, text))
         return node, path, tags, veils
 
@@ -71,11 +76,14 @@ def read_nodes(html: str | None) -> list[tuple]:
             del stack[least:]
 
     def body():
-        if not any(s[1] == "body" for s in stack[:2]):
+        if len(stack) < 2 or stack[1][1] != "body":
             del stack[1:]
             open_("body", {})
 
     class Reader(HTMLParser):
+        def updatepos(self, i, j):
+            return j  # lines are not asked for
+
         def handle_starttag(self, tag, attrs):
             held = {}
             for k, v in attrs:
@@ -94,10 +102,10 @@ def read_nodes(html: str | None) -> list[tuple]:
             if tag not in HEAD or len(stack) > 1 and stack[1][1] == "body":
                 body()
             if tag in IMPLIED:
-                close(*(x.split() for x in IMPLIED[tag]), every=True)
+                close(*IMPLIED[tag], every=True)
             elif tag in ENDS_P:
                 close(("p",), ("td", "th", "caption", "table", "button"))
-            if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack[-1][1]):
+            if tag in TITLES and stack[-1][1] in TITLES:
                 stack.pop()
             open_(tag, held)
 
@@ -111,11 +119,10 @@ def read_nodes(html: str | None) -> list[tuple]:
                 del stack[1:]
             elif tag in ("html", "body", "head"):
                 return
-            elif re.fullmatch("h[1-6]", tag):
-                close(("h1", "h2", "h3", "h4", "h5", "h6"))
+            elif tag in TITLES:
+                close(TITLES)
             else:
-                stops = {"li": "ul ol", "td": "table", "th": "table", "tr": "table"}.get(tag, "" if tag in ("table", "td", "th") else "td th" if tag not in ("tbody", "thead", "tfoot", "tr") else "table")
-                close((tag,), stops.split())
+                close((tag,), STOPS.get(tag, ("td", "th")))
 
         def handle_data(self, data):
             if len(stack) < 3 and not (len(stack) == 2 and stack[1][1] != "head"):
@@ -133,10 +140,11 @@ def read_nodes(html: str | None) -> list[tuple]:
     return out
 
 
-def tree(pages: DataFrame, page: str = "page_id", html: str = "html", at_once: int = 20_000) -> DataFrame:
+def tree(pages: DataFrame, page: str = "page_id", html: str = "html", at_once: int = 20_000, keep=None) -> DataFrame:
     """page, node, path, tags (ancestors, from the root), veils (passed-over ones among them and
     itself), tag and attrs (of an element) or text, of every node. pages has page unique. A null
-    page has a root and a body. at_once: nodes handed back together, a page more at most."""
+    page has a root and a body. at_once: nodes handed back together, a page more at most. keep: as in
+    read_nodes; block_part leaves what blocks() reads."""
     rows = pages.select(F.col(page).alias("page"), F.col(html).cast("string").alias("html"))
     kind = rows.schema["page"].dataType.simpleString()
 
@@ -153,7 +161,7 @@ def tree(pages: DataFrame, page: str = "page_id", html: str = "html", at_once: i
         for batch in batches:
             keys, held, like = [], [], batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = read_nodes(text.as_py())
+                got = read_nodes(text.as_py(), keep)
                 keys += [key] * len(got)
                 held += got
                 if len(held) >= at_once:
@@ -166,8 +174,10 @@ def tree(pages: DataFrame, page: str = "page_id", html: str = "html", at_once: i
 
 
 _HEADS = "h1 h2 h3 h4 h5 h6 p pre table blockquote dl hr ul ol".split()
-#: Numbers of the elements that hold the text of a row with ids, tgs (the path below the root and, for an
-#: element, itself), head at place h: the head itself, items of a list and of lists in items, terms
+_PARTS = frozenset([*_HEADS, *"li dt dd td th code main article body".split()])
+_HEAD_SET = frozenset(_HEADS)
+#: Numbers of the elements that hold the text of a row with ids, tgs (the path and, for an element, itself),
+#: head at place h: the head itself, items of a list and of lists in items, terms
 #: and definitions, cells and their table.
 _HOLDERS = """CASE WHEN get(tgs, h) IN ('ul', 'ol') THEN aggregate(filter(sequence(0, size(ids) - 1), i -> i > h), named_struct('ok', true, 'l', CAST(array() AS array<int>)),
   (a, i) -> CASE WHEN a.ok AND (i - h) % 2 = 1 AND get(tgs, i) = 'li' THEN named_struct('ok', true, 'l', concat(a.l, array(get(ids, i)))) WHEN a.ok AND (i - h) % 2 = 0 AND get(tgs, i) IN ('ul', 'ol') THEN a ELSE named_struct('ok', false, 'l', a.l) END, a -> a.l)
@@ -176,14 +186,33 @@ WHEN get(tgs, h) = 'table' THEN concat(array(get(ids, h)), transform(filter(sequ
 ELSE array(get(ids, h)) END"""
 
 
+#: What a page's content may be, in order.
+_ROOTS = "main", "article", "role", "body"
+#: The roots (0 to 3) that hold a row with path, ids and tgs (the path and, for an element, itself), each with the
+#: place h of the first head below it, unless an element that is passed over lies between them or is the head.
+_SEEN = f"""filter(transform(roots, (r, i) -> named_struct('place', i, 'root', r, 'h', CASE WHEN array_contains(path, r) THEN
+  array_min(filter(sequence(0, size(tgs) - 1), j -> j >= array_position(path, r) AND get(tgs, j) IN ({', '.join(f"'{t}'" for t in _HEADS)}))) END)),
+  s -> s.h IS NOT NULL AND NOT exists(veils, v -> v > s.root AND v <= get(ids, s.h)))"""
+#: What (?U)\s of a pattern finds.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _stands(role: Column) -> Column:
+    """An element that blocks() reads: a head, what stands inside one, or what may be a root."""
+    return F.col("tag").isin(*_PARTS) | F.coalesce(role == "main", F.lit(False))
+
+
+def block_part(tags: list, tag: str | None, attrs: dict | None) -> bool:
+    """The nodes that blocks() reads, for tree()."""
+    return tag in _PARTS or attrs.get("role") == "main" if tag else not _HEAD_SET.isdisjoint(tags)
+
+
 def _roots(nodes: DataFrame) -> DataFrame:
-    """nodes with root and place: once for each content root that might be the page's and holds them."""
+    """nodes with roots (the first main, article, element of role main and body, or nulls) and fallback, the last there is."""
     along = Window.partitionBy("page")
     first = lambda c: F.min(F.when(c, F.col("node"))).over(along)
-    role = F.coalesce(F.try_element_at("attrs", F.lit("role")), F.lit(""))
-    found = F.array(first(F.col("tag") == "main"), first(F.col("tag") == "article"), first((role == "main") & F.col("tag").isNotNull()), first(F.col("tag") == "body"))
-    each = nodes.withColumn("_r", found).withColumn("fallback", F.array_max(F.transform("_r", lambda r, i: F.when(r.isNotNull(), i))))
-    return each.select("*", F.posexplode("_r").alias("place", "root")).drop("_r").filter("root IS NOT NULL")
+    found = F.array(first(F.col("tag") == "main"), first(F.col("tag") == "article"), first((F.col("role") == "main") & F.col("tag").isNotNull()), first(F.col("tag") == "body"))
+    return nodes.withColumn("roots", found).withColumn("fallback", F.array_max(F.transform("roots", lambda r, i: F.when(r.isNotNull(), i))))
 
 
 def blocks(nodes: DataFrame, least_chars: int = 50) -> DataFrame:
@@ -193,42 +222,37 @@ def blocks(nodes: DataFrame, least_chars: int = 50) -> DataFrame:
     and least_chars characters, or else the last there is. Text parts of a block are trimmed and joined
     as they stand; code keeps its white space. Items of lists are flattened, cells make rows of a
     table, terms go before their definitions."""
-    held = _roots(nodes)
-    own = F.col("tag").isNotNull()
     # Texts under a block, and elements that are or hold one; all others are known to these by their paths.
-    named = F.array(*[F.lit(t) for t in _HEADS])
-    held = held.filter(F.col("tag").isin(*_HEADS, "li", "dt", "dd", "td", "th", "code") | (F.col("text").isNotNull() & F.arrays_overlap("tags", named)))
-    held = held.filter(F.array_contains("path", F.col("root"))).withColumn("_k", F.array_position("path", F.col("root")).cast("int"))
-    below = lambda a: F.expr(f"slice({a}, _k + 1, size({a}))")
-    held = held.withColumns({"ids": F.when(own, F.concat(below("path"), F.array("node"))).otherwise(below("path")), "tgs": F.when(own, F.concat(below("tags"), F.array("tag"))).otherwise(below("tags"))})
-    heads = F.array_position(F.transform("tgs", lambda t: t.isin(*_HEADS)), F.lit(True)).cast("int") - 1
-    held = held.withColumn("h", heads).filter("h >= 0").filter("NOT exists(veils, v -> v > root AND v <= get(ids, h))")
-    rows = held.select("page", "fallback", "place", F.expr("get(ids, h)").alias("head"), F.expr("get(tgs, h)").alias("head_tag"), "node", "path", "veils", "tag", "attrs", "text", F.expr(_HOLDERS).alias("holders"))
-    each = rows.withColumn("holder", F.explode("holders"))
-    mine, seen = F.col("tag").isNotNull() & (F.col("node") == F.col("holder")), F.expr("NOT exists(veils, v -> v >= holder)")
-    attr = lambda name: F.try_element_at("attrs", F.lit(name))
-    each = each.filter(mine | F.col("text").isNotNull() | (F.col("tag") == "code"))
-    got = each.groupBy("page", "fallback", "place", "head", "head_tag", "holder").agg(
-        F.max(F.when(mine, F.col("tag"))).alias("tag"),
-        F.max(F.when(mine, attr("id"))).alias("id"),
-        F.max(F.when(mine, attr("class"))).alias("class"),
-        F.max(F.when(mine, F.element_at("path", -1))).alias("up"),
-        F.min(F.when((F.col("tag") == "code"), F.struct("node", attr("class").alias("class")))).alias("code"),
-        F.sort_array(F.collect_list(F.when(F.col("text").isNotNull() & seen, F.struct("node", "text")))).alias("parts"),
+    own, attr = F.col("tag").isNotNull(), lambda name: F.try_element_at("attrs", F.lit(name))
+    each = nodes.filter(own & _stands(attr("role")) | F.col("text").isNotNull() & F.arrays_overlap("tags", F.array(*[F.lit(t) for t in _HEADS])))
+    each = _roots(each.select("page", "node", "path", "tags", "veils", "tag", "text", *[attr(k).alias(k) for k in ("role", "id", "class")]))
+    each = each.withColumns({"ids": F.when(own, F.concat("path", F.array("node"))).otherwise(F.col("path")), "tgs": F.when(own, F.concat("tags", F.array("tag"))).otherwise(F.col("tags"))})
+    each = each.withColumn("seen", F.expr(_SEEN)).withColumn("h", F.explode(F.array_distinct(F.col("seen.h"))))
+    # Roots that see a block are told by the block alone, so its rows go on once, whatever their number.
+    each = each.select(
+        "page", "fallback", F.expr("aggregate(seen, 0, (a, s) -> a + CASE WHEN s.h = h THEN shiftleft(1, s.place) ELSE 0 END)").alias("places"), F.expr("get(ids, h)").alias("head"),
+        F.expr("get(tgs, h)").alias("head_tag"), "node", F.element_at("path", -1).alias("up"), "veils", "tag", "id", "class", "text", F.explode(F.expr(_HOLDERS)).alias("holder"),
+    )
+    mine, shown = own & (F.col("node") == F.col("holder")), F.col("text").isNotNull() & F.expr("NOT exists(veils, v -> v >= holder)")
+    each = each.filter(mine | shown | (F.col("tag") == "code"))
+    piece = F.when(F.col("head_tag") == "pre", F.col("text")).otherwise(F.trim("text", F.lit(SPACES)))
+    got = each.groupBy("page", "fallback", "places", "head", "head_tag", "holder").agg(
+        F.max(F.when(mine, F.struct("tag", "id", "class", "up"))).alias("own"),
+        F.min(F.when(F.col("tag") == "code", F.struct("node", "class"))).alias("code"),
+        F.sort_array(F.collect_list(F.when(shown, F.struct("node", piece.alias("text"))))).alias("parts"),
     )
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    inline = strip(F.regexp_replace(F.array_join(F.transform("parts", lambda p: strip(p.text)), ""), r"(?U)\s+", " "))
-    raw = F.array_join(F.transform("parts", lambda p: p.text), "")
-    got = got.withColumn("text", F.when(F.col("head_tag") == "pre", raw).otherwise(inline)).drop("parts")
+    joined = F.array_join("parts.text", "")
+    folded = F.when(F.col("head_tag") == "pre", joined).otherwise(F.regexp_replace(joined, r"(?U)[^\S ]\s*| \s+", " "))
+    got = got.select("page", "fallback", "places", "head", "head_tag", "holder", "own.*", "code", folded.alias("text"))
     # Rows of a table are the parents of its cells; all else is a row of its own. Grouped by page still.
-    head, along = F.col("head_tag"), Window.partitionBy("page", "place", "head").orderBy("holder").rowsBetween(Window.unboundedPreceding, -1)
+    head, along = F.col("head_tag"), Window.partitionBy("page", "head").orderBy("holder").rowsBetween(Window.unboundedPreceding, -1)
     cell = (head == "table") & (F.col("holder") != F.col("head"))
     got = got.withColumn("term", F.when(head == "dl", F.coalesce(F.last(F.when(F.col("tag") == "dt", F.col("text")), ignorenulls=True).over(along), F.lit(""))))
-    rows = got.groupBy("page", "fallback", "place", "head", "head_tag", F.when(cell, F.col("up")).otherwise(F.col("holder")).alias("row")).agg(
+    rows = got.groupBy("page", "fallback", "places", "head", "head_tag", F.when(cell, F.col("up")).otherwise(F.col("holder")).alias("row")).agg(
         F.first("tag").alias("tag"), F.first("id").alias("id"), F.first("class").alias("class"), F.first("code.class").alias("code"), F.first("term").alias("term"), F.first("text").alias("text"),
         F.sort_array(F.collect_list(F.when(cell, F.struct("holder", F.replace("text", F.lit("|"), F.lit("\\|")).alias("text"))))).alias("cells"),
     )
-    table = rows.groupBy("page", "fallback", "place", "head", "head_tag", F.when(head == "table", F.col("head")).otherwise(F.col("row")).alias("node")).agg(
+    table = rows.groupBy("page", "fallback", "places", "head", "head_tag", F.when(head == "table", F.col("head")).otherwise(F.col("row")).alias("node")).agg(
         *[F.min_by(c, "row").alias(c) for c in ("tag", "id", "class", "code", "term", "text")],
         F.sort_array(F.collect_list(F.when(F.size("cells") > 0, F.struct("row", F.transform("cells", lambda c: c.text).alias("cells"))))).alias("grid"),
     )
@@ -241,17 +265,20 @@ def blocks(nodes: DataFrame, least_chars: int = 50) -> DataFrame:
     kind = F.when(head.rlike("^h[1-6]$"), "heading")
     for tags, name in KINDS.items():
         kind = kind.when(head.isin(*tags.split()), name)
-    every = table.filter((head != "dl") | (F.col("tag") == "dd")).withColumns({"text": text, "kind": kind}).filter("kind IN ('heading', 'code', 'table', 'horizontal_rule') OR text <> ''")
+    every = table.filter((head != "dl") | (F.col("tag") == "dd")).withColumns({"text": text, "kind": kind})
     slug = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("text"), r"(?U)\s", "-"), r"[^\p{L}\p{N}_-]", ""), "^-+|-+$|(?<=-)-+", "")
     anchor = F.when(F.col("kind") == "heading", F.coalesce("id", F.when(F.col("text") != "", slug)))
     spoken = lambda c: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?:^|\s)lang(?:uage)?-(\S+)", 1), F.lit(""))
     lang = F.coalesce(spoken(F.col("code")), spoken(F.col("class")))
     lang = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), lang), lang)
-    page = Window.partitionBy("page")
-    every = every.withColumn("_chars", F.sum(F.length("text")).over(Window.partitionBy("page", "place")))
-    every = every.withColumn("_good", F.min(F.when(F.col("_chars") >= least_chars, F.col("place"))).over(page)).filter("place = coalesce(_good, fallback)")
+    # One sort serves both windows. What gives no block is dropped between them, as its text would be made again below them.
+    page = Window.partitionBy("page").orderBy("node")
+    block, whole = F.expr("kind IN ('heading', 'code', 'table', 'horizontal_rule') OR text <> ''"), page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    every = every.withColumns({f"_n{k}": F.sum(F.when(block & (F.getbit("places", F.lit(k)) == 1), F.length("text"))).over(whole) for k in range(len(_ROOTS))})
+    good = F.coalesce(*[F.when(F.col(f"_n{k}") >= least_chars, k) for k in range(len(_ROOTS))], F.col("fallback"))
+    every = every.filter(block & (F.getbit("places", good) == 1))
     return every.select(
-        "page", F.row_number().over(page.orderBy("node")).alias("block"), "kind", F.when(F.col("kind") == "heading", F.substring("head_tag", 2, 1).cast("int")).alias("level"),
+        "page", F.row_number().over(page).alias("block"), "kind", F.when(F.col("kind") == "heading", F.substring("head_tag", 2, 1).cast("int")).alias("level"),
         anchor.alias("anchor"), F.when(F.col("kind") == "code", lang).alias("language"), "text",
     )
 

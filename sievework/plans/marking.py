@@ -23,7 +23,7 @@ _MORE_ROWS = [
 
 def page_blocks(spark, sf_dir):
     more = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</h1>"), F.lit("</h1>" + _MORE))).otherwise(F.col("html"))
-    return markup.blocks(markup.tree(table(spark, sf_dir, "pages").select("page_id", more.alias("html")))).withColumnRenamed("page", "page_id")
+    return markup.blocks(markup.tree(table(spark, sf_dir, "pages").select("page_id", more.alias("html")), keep=markup.block_part)).withColumnRenamed("page", "page_id")
 
 
 #: A row of a result page of each engine, around a link, its percent-encoded form, a title and a snippet.
