@@ -74,3 +74,23 @@ def test_many_copies_of_a_row_are_one_text_where_contexts_meet(spark, crowd, tmp
         assert got == Counter({k: n if k[0] == 1 else v for k, v in want.items()})
         most.append(max([int(f.read_text()) for f in tmp_path.iterdir()], default=0))
     assert most[0] == most[1]
+
+
+def test_a_line_repeated_in_its_text_is_one_row(spark):
+    """Texts that repeat a line hundreds of times, alone, between others, and with few triggers: equal contexts of a text meet others once."""
+    from sievework.llm.chunk_dedup import gear
+
+    rnd = random.Random(13)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    lines = [words(12), words(70), "a" * 410 + words(1)]
+    rows = [(k, words(rnd.randint(1, 80)) + ("\n" + lines[k % 3]) * rnd.randint(2, 300) + "\n" + words(rnd.randint(1, 80))) for k in range(12)]
+    rows += [(12, lines[1]), (13, words(40) + lines[1] * 2), (14, (lines[0] + "\n") * 500)]
+    for _, text in rows:
+        got = suffix_dedup.contexts(text.encode(), 400, gear())
+        own = Counter(r[:2] for r in got if r[4])
+        assert max(own.values(), default=1) == 1
+        starts = Counter(s for r in got if r[4] != 2 for s in range(r[2], r[3] + 1))
+        assert starts == Counter(range(len(text.encode()) - 399))
+    for crowd in (5000, 1):
+        found = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd)
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found.collect()) == brute(rows, 400)
